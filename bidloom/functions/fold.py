@@ -61,12 +61,18 @@ def plain(text: str | None) -> str | None:
     return text.translate({k: v for k, v in PROTOTYPE.items() if not 0x370 <= k <= 0x52F})
 
 
+#: Composed Latin letters without their accents, in lower case; whatever else isn't ASCII takes the long way.
+SIMPLE = {c: m for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)] if len(m := MARKS.sub("", unicodedata.normalize("NFD", chr(c).lower())).replace("đ", "d").replace("ð", "d")) == 1 and m.isascii()}
+SIMPLE |= {c: chr(c).lower() for c in range(65, 91)}
+
+
 @lru_cache(100_000)
 def bare(text: str | None) -> str:
     """Search key: ``plain`` without case, accents and repeated blanks; đ counts as d."""
     if not text:
         return ""
-    text = plain(text).lower()
+    quick = text.translate(SIMPLE)
+    text = quick if quick.isascii() else plain(text).lower()
     if not text.isascii():
         text = MARKS.sub("", unicodedata.normalize("NFD", text)).replace("đ", "d").replace("ð", "d")
     return SPACE.sub(" ", text).strip()
