@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidloom.llm import canonical, garbled, lookalike
+from bidloom.llm import canonical, garbled, lookalike, products
 from bidloom.operators import packed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +109,19 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     """Different originals with one look, per field: the consistent form, the number of spellings and of rows."""
     return lookalike.look_alikes(look_fields(spark, d), "text", "field_name")
+
+
+def product_groups(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "item_records").filter("row_type = 'detail'").select("item_id", "bidder", "item_name", "material", "item_code")
+    return products.grouped(rows, "item_id", "item_name", "material", "item_code")
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return products.pairs(product_groups(spark, d).filter("bidder is not null"), "item_id", "bidder")
+
+
+@query
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row per listing with its product."""
+    return product_groups(spark, d).select("item_id", "product")
