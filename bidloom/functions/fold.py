@@ -10,6 +10,8 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
+
 # Letters of other scripts that look like a Latin letter.
 CYRILLIC = "АВЕЅІЈКМНОРСТУХаеѕіјорсухһԁԛԝүьгп"
 CYRILLIC_AS = "ABESIJKMHOPCTYXaesijopcyxhdqwybrn"
@@ -107,3 +109,39 @@ def osa(a: str, b: str, limit: int) -> int:
             return limit + 1
         two, one = one, row
     return one[-1]
+
+
+class RowFinder:
+    """Finds, in a whole batch at once, the texts with a suspicious character or pair of neighbours.
+
+    ``alphabet``: the characters that may be ordinary; any other is suspicious. ``suspicious``: a regular expression that is asked
+    once for every pair of the alphabet. Null and empty texts are never found."""
+
+    def __init__(self, alphabet: str, suspicious: str | None = None):
+        chars = "".join(dict.fromkeys("\n" + alphabet))
+        self.ids = np.zeros(0x10000, np.uint16)
+        for i, c in enumerate(chars, 1):
+            self.ids[ord(c)] = i
+        n = len(chars) + 1
+        self.pairs = np.zeros((n, n), bool)
+        self.pairs[0, :] = True  # and none for the line break, which belongs to the text before it
+        if suspicious:
+            say = re.compile(suspicious).search
+            for i, a in enumerate(chars[1:], 2):
+                for j, b in enumerate(chars, 1):
+                    self.pairs[i, j] = say(a + b) is not None if b != "\n" else say(a) is not None
+
+    def find(self, texts) -> np.ndarray:
+        out = np.zeros(len(texts), bool)
+        kept = [(t or "").replace("\n", " ") for t in texts]
+        line = "\n".join(kept) + "\n"
+        code = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32)
+        at = np.where(code < 0x10000, self.ids[np.minimum(code, 0xFFFF)], 0)
+        hits = np.flatnonzero(self.pairs[at[:-1], at[1:]])
+        if len(hits):
+            ends = np.flatnonzero(code == 10)
+            out[np.unique(np.searchsorted(ends, hits))] = True
+        return out
+
+
+ASCII = "".join(map(chr, range(128)))
