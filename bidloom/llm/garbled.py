@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bidloom.functions.fold import ASCII, RowFinder
+
 BASE = "aăâbcdđeêfghijklmnoôơpqrstuưvwxyz"
 TONES = ["̀", "́", "̉", "̃", "̣"]
 ACCENTED = sorted({unicodedata.normalize("NFC", v + t) for v in "aăâeêioôơuưy" for t in TONES} | set("ăâđêôơư"))
@@ -42,11 +44,17 @@ for _c, _i in INDEX.items():
 LOOKUP[48:58] = 1
 ORDINARY = "²³×Ø°±–—“”‘’•…、®©"
 VOWELS = "aăâeêioôơuưyãõý"
-#: Rows that may be damaged; a superset, decided on later.
-SUSPECT = (
-    rf"[^\x00-\x7F{V}{ORDINARY}]|\?|\p{{Ll}}[{UP}]|[A-Za-z{V}][®©×Ø°±]\p{{Ll}}|(^|[ (])[®©]\p{{L}}|[aăâeêôơãõýAEĂÂÊÔƠ][{V}]|[uoiyUOIY][ìòùõÌÒÙÕ]|[öñïëä]"
-)
-#: The same for Python, with letters written out.
+LOW = "".join(c for c in V if c.islower())
+#: Neighbours that may mean damage; a superset, decided on later. Any character outside the alphabet counts too.
+SUSPECT = rf"\?|[a-z{LOW}][{UP}]|[A-Za-z{V}][®©]|[®©×Ø°±][a-z{LOW}]|[aăâeêôơãõýAEĂÂÊÔƠ][{V}]|[uoiyUOIY][ìòùõÌÒÙÕ]"
+
+
+@lru_cache(1)
+def finder() -> RowFinder:
+    return RowFinder(ASCII + V + ORDINARY, SUSPECT)
+
+
+#: Places where a character is gone.
 LOST = re.compile(r"�|(?<=\w)\?(?=\w)|\?\?|(?<=\w)\?(?=[ ,;)\-]|$)|(?<![\w?])\?(?=\w)")
 
 
@@ -164,9 +172,9 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     found: Counter = Counter()
     for pdf in batches:
         texts = pdf["text"].dropna()
-        odd = pdf.loc[texts.index, "odd"].to_numpy(bool)
+        odd = finder().find(texts.tolist())
         clean = "\n".join(texts[~odd]) + "\n"
-        code = np.frombuffer(clean.encode("utf-32-le"), np.uint32)
+        code = np.frombuffer(clean.encode("utf-32-le", "surrogatepass"), np.uint32)
         at = np.where(code < 0x2000, LOOKUP[np.minimum(code, 0x1FFF)], 0)
         pairs += np.bincount(at[:-1] * A + at[1:], minlength=A * A)
         for t in texts[odd]:
@@ -328,8 +336,7 @@ class Repairer:
 def fit(texts: DataFrame, column: str = "text") -> Repairer:
     """Learns bigrams and ciphers from every row of ``texts`` in one pass; what comes back to the driver is bounded by the alphabets."""
     rows = (
-        texts.select(F.col(column).alias("text"), F.col(column).rlike(SUSPECT).alias("odd"))
-        .filter("text is not null")
+        texts.select(F.col(column).alias("text"))
         .mapInPandas(_count, "cipher string, what string, l string, u string, r string, n long")
         .groupBy("cipher", "what", "l", "u", "r")
         .agg(F.sum("n").alias("n"))
@@ -345,14 +352,23 @@ def repair(df: DataFrame, column: str, repairer: Repairer) -> DataFrame:
 
     @F.pandas_udf("struct<restored string, damage string>")
     def run(s: pd.Series) -> pd.DataFrame:
-        out = [repairer.repair(t) if t else None for t in s]
+        texts = s.tolist()
+        out = [repairer.repair(t) if odd else None for t, odd in zip(texts, finder().find(texts), strict=True)]
         return pd.DataFrame({"restored": [o[0] if o else None for o in out], "damage": [o[1] if o else None for o in out]})
 
     got = "__repaired"
-    odd = df.withColumn(got, F.when(F.col(column).rlike(SUSPECT), F.col(column)))
-    return odd.withColumn(got, run(F.col(got))).withColumn("restored", F.coalesce(F.col(f"{got}.restored"), F.col(column))).withColumn("damage", F.col(f"{got}.damage")).drop(got)
+    return df.withColumn(got, run(F.col(column))).withColumn("restored", F.coalesce(F.col(f"{got}.restored"), F.col(column))).withColumn("damage", F.col(f"{got}.damage")).drop(got)
 
 
 def damaged(df: DataFrame, column: str, repairer: Repairer) -> DataFrame:
-    """Only the damaged rows, with ``restored`` and ``damage``; rows without an unusual character never reach Python."""
-    return repair(df.filter(F.col(column).rlike(SUSPECT)), column, repairer).filter("damage is not null")
+    """Only the damaged rows, with ``restored`` and ``damage``; the others are found and dropped a batch at a time."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf[finder().find(pdf[column].tolist())]
+            out = [repairer.repair(t) for t in pdf[column]]
+            hit = np.array([o is not None for o in out], bool)
+            yield pdf[hit].assign(restored=[o[0] for o in out if o], damage=[o[1] for o in out if o])
+
+    kept = df.drop("restored", "damage")
+    return kept.mapInPandas(run, kept.schema.simpleString()[7:-1] + ",restored:string,damage:string")
