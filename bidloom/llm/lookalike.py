@@ -13,16 +13,23 @@ an empty table gives an empty result; extra columns are kept, also if they are c
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidloom.functions.fold import plain
+from bidloom.functions.fold import ASCII, RowFinder, plain
 
-#: Texts with a character that may have an ordinary look-alike; all others are their own consistent form.
-ODD = "[^\\x00-\\x7FÀ-ÏÑ-ÿĂăĐđĨĩŨũƠơƯưẠ-ỹ²³°±®©–—“”‘’•…™]"
+#: Characters without an ordinary look-alike; texts of these alone are their own consistent form.
+USUAL = ASCII + "".join(map(chr, [*range(0xC0, 0xD0), *range(0xD1, 0x100)])) + "ĂăĐđĨĩŨũƠơƯư" + "".join(map(chr, range(0x1EA0, 0x1EFA))) + "²³°±®©–—“”‘’•…™"
+
+
+@lru_cache(1)
+def finder() -> RowFinder:
+    return RowFinder(USUAL)
 
 
 @lru_cache(50_000)
@@ -37,19 +44,28 @@ def unified(text: str) -> str:
 
 
 def unify(df: DataFrame, column: str) -> DataFrame:
-    """Adds ``unified``, the consistent form of the column. Only texts with an odd character go to Python."""
+    """Adds ``unified``, the consistent form of the column."""
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda t: unified(t) if t else t)
+        texts = s.tolist()
+        return pd.Series([unified(t) if odd else t for t, odd in zip(texts, finder().find(texts), strict=True)], dtype=object)
+
+    return df.withColumn("unified", run(F.col(column)))
+
 
-    odd = F.col(column).rlike(ODD)
-    return df.withColumn("unified", F.when(odd, run(F.when(odd, F.col(column)))).otherwise(F.col(column)))
+def disguised(df: DataFrame, column: str, also: Callable[[str], bool] | None = None) -> DataFrame:
+    """Rows whose text isn't in its consistent form, with ``unified``; texts that ``also`` rejects are left out."""
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf[finder().find(pdf[column].tolist())]
+            forms = [unified(t) for t in pdf[column]]
+            hit = np.array([f != t and (also is None or also(t)) for f, t in zip(forms, pdf[column], strict=True)], bool)
+            yield pdf[hit].assign(unified=[f for f, h in zip(forms, hit, strict=True) if h])
 
-def disguised(df: DataFrame, column: str) -> DataFrame:
-    """Rows whose text isn't in its consistent form, with ``unified``."""
-    return unify(df.filter(F.col(column).rlike(ODD)), column).filter(F.col("unified") != F.col(column))
+    kept = df.drop("unified")
+    return kept.mapInPandas(run, kept.schema.simpleString()[7:-1] + ",unified:string")
 
 
 def look_alikes(df: DataFrame, column: str, *by: str) -> DataFrame:

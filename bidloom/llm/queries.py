@@ -100,9 +100,9 @@ def look_fields(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     repairer = garbled.fit(damaged_fields(spark, d))
-    odd = lookalike.disguised(look_fields(spark, d), "text")
-    checked = garbled.repair(odd.withColumn("text", F.when(F.col("field_name") != "unit", F.col("text"))), "text", repairer)
-    return checked.filter("damage is null").select("src", "row_id", "field_name")
+    fields, can_be_damaged = look_fields(spark, d), F.col("field_name") == "item_name"
+    found = lookalike.disguised(fields.filter(can_be_damaged), "text", lambda t: repairer.repair(t) is None)
+    return found.union(lookalike.disguised(fields.filter(~can_be_damaged), "text")).select("src", "row_id", "field_name")
 
 
 @query
