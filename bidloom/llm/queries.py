@@ -112,8 +112,8 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def product_groups(spark: SparkSession, d: str) -> DataFrame:
-    rows = read(spark, d, "item_records").filter("row_type = 'detail'").select("item_id", "bidder", "item_name", "material", "item_code")
-    return products.grouped(rows, "item_id", "item_name", "material", "item_code")
+    rows = read(spark, d, "item_records").filter("row_type = 'detail'")
+    return products.grouped(rows, "item_id", "item_name", "material", "item_code", "bidder")
 
 
 @query
