@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidloom.llm import canonical, garbled, lookalike, products
+from bidloom.functions.lineage import written
+from bidloom.llm import abuse, canonical, garbled, leaks, lookalike, packing, products
 from bidloom.operators import packed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +126,46 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     """One row per listing with its product."""
     return product_groups(spark, d).select("item_id", "product")
+
+
+@query
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    tests = leaks.index(read(spark, d, "test_items"), "test_id", "text")
+    return leaks.leaks(read(spark, d, "documents"), "doc_id", "text", tests).select("doc_id", "test_id")
+
+
+@query
+def p8_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Documents without leaks."""
+    tests = leaks.index(read(spark, d, "test_items"), "test_id", "text")
+    return leaks.without_leaks(read(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", tests).select("doc_id")
+
+
+@query
+def p7_containers(spark: SparkSession, d: str) -> DataFrame:
+    """Container, document and piece number of every text."""
+    sizes = written(packing.token_counts(read(spark, d, "documents"), "doc_id", "text"))
+    return packing.fill(sizes, "doc_id").select("container", "doc_id", "piece_no", "n_tokens")
+
+
+def abuse_scores(spark: SparkSession, d: str) -> DataFrame:
+    documents = read(spark, d, "documents")
+    scorer = abuse.fit(documents, "doc_id", "text", read(spark, d, "review_marks"), "doc_id", "verdict")
+    return abuse.scores(documents, "doc_id", "text", scorer, "source")
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse_scores(spark, d).filter(F.col("vote") >= abuse.FOUND).select("doc_id")
+
+
+@query
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse_scores(spark, d)
+
+
+@query
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rate of abusive documents per source."""
+    bad = F.col("vote") >= abuse.FOUND
+    return abuse_scores(spark, d).groupBy("source").agg(F.count("*").alias("documents"), F.count_if(bad).alias("abusive"), F.avg("score").alias("mean_score")).withColumn("rate", F.col("abusive") / F.col("documents"))
