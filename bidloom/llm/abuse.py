@@ -232,7 +232,8 @@ def fit(documents: DataFrame, key: str, text: str, marks: DataFrame, mark_key: s
             if len(seen) > 200_000:
                 _add(df, seen, vocabulary)
         _add(df, seen, vocabulary)
-        yield pd.DataFrame({"term": list(df), "n": list(df.values())})
+        if df:
+            yield pd.DataFrame({"term": list(df), "n": list(df.values())})
 
     rows = documents.select(text).mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n")).collect()
     df = {t: n for t, n in rows}
@@ -278,6 +279,8 @@ def scores(documents: DataFrame, key: str, text: str, scorer: Scorer, *keep: str
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
+            if not len(pdf):
+                continue
             got = [scorer.index.score(t) for t in pdf[text]]
             yield pdf[[key, *keep]].assign(vote=[g[0] for g in got], score=[scorer.calibrated(g[0]) for g in got], evidence=[g[1] for g in got])
 

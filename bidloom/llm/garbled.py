@@ -368,7 +368,8 @@ def damaged(df: DataFrame, column: str, repairer: Repairer) -> DataFrame:
             pdf = pdf[finder().find(pdf[column].tolist())]
             out = [repairer.repair(t) for t in pdf[column]]
             hit = np.array([o is not None for o in out], bool)
-            yield pdf[hit].assign(restored=[o[0] for o in out if o], damage=[o[1] for o in out if o])
+            if hit.any():
+                yield pdf[hit].assign(restored=[o[0] for o in out if o], damage=[o[1] for o in out if o])
 
     kept = df.drop("restored", "damage")
     return kept.mapInPandas(run, kept.schema.simpleString()[7:-1] + ",restored:string,damage:string")

@@ -191,7 +191,8 @@ def leaks(documents: DataFrame, key: str, text: str, tests: Index) -> DataFrame:
             for _, part in pdf.groupby(size.to_numpy()):
                 keys = part[key].tolist()
                 out = [(keys[d], t, n, s) for d, t, n, s in tests.shard(part[text].tolist())]
-                yield pd.DataFrame(out, columns=[key, "test_id", "longest", "share"])
+                if out:
+                    yield pd.DataFrame(out, columns=[key, "test_id", "longest", "share"])
 
     return documents.select(key, text).mapInPandas(run, f"{key} {kind}, test_id long, longest int, share double")
 

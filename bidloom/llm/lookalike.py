@@ -62,7 +62,8 @@ def disguised(df: DataFrame, column: str, also: Callable[[str], bool] | None = N
             pdf = pdf[finder().find(pdf[column].tolist())]
             forms = [unified(t) for t in pdf[column]]
             hit = np.array([f != t and (also is None or also(t)) for f, t in zip(forms, pdf[column], strict=True)], bool)
-            yield pdf[hit].assign(unified=[f for f, h in zip(forms, hit, strict=True) if h])
+            if hit.any():
+                yield pdf[hit].assign(unified=[f for f, h in zip(forms, hit, strict=True) if h])
 
     kept = df.drop("unified")
     return kept.mapInPandas(run, kept.schema.simpleString()[7:-1] + ",unified:string")

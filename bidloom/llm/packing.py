@@ -67,7 +67,9 @@ def token_counts(documents: DataFrame, key: str, text: str, path: str | None = N
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = pd.DataFrame({key: pdf[key], "n_tokens": [count(t) for t in pdf[text]]})
-            yield out[out["n_tokens"] > 0]
+            out = out[out["n_tokens"] > 0]
+            if len(out):
+                yield out
 
     return documents.select(key, text).mapInPandas(run, f"{key} {kind}, n_tokens long")
 
