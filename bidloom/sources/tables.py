@@ -85,7 +85,7 @@ def explode_markdown(df: DataFrame, key: str, column: str) -> DataFrame:
     rows = lines.filter(F.col("line").rlike(r"^\|.*\|$"))
     w = Window.partitionBy(key).orderBy("at")
     rows = rows.withColumn("__g", F.col("at") - F.row_number().over(w)).filter(~F.col("line").rlike(r"^\|[\s:|-]+\|$"))
-    cells = F.transform(F.split(F.substring("line", F.lit(2), F.length("line") - 2), r"\|"), F.trim)
+    cells = F.transform(F.split(F.substring("line", F.lit(2), F.length("line") - 2), r"\|"), lambda c: F.trim(c))
     size = F.count("*").over(Window.partitionBy(key, "__g"))
     rows = rows.select(key, "__g", "at", cells.alias("cells"), size.alias("__n")).filter("__n >= 2")
     return rows.select(key, F.dense_rank().over(Window.partitionBy(key).orderBy("__g")).alias("table_no"), F.row_number().over(Window.partitionBy(key, "__g").orderBy("at")).alias("row_no"), "cells")
