@@ -65,6 +65,7 @@ def plain(text: str | None) -> str | None:
 
 #: Composed Latin letters without their accents, in lower case; whatever else isn't ASCII takes the long way.
 SIMPLE = {c: m for c in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)] if len(m := MARKS.sub("", unicodedata.normalize("NFD", chr(c).lower())).replace("đ", "d").replace("ð", "d")) == 1 and m.isascii()}
+LONG_WAY = re.compile("[^\\x00-\\x7F" + "".join(map(chr, SIMPLE)) + "]")
 SIMPLE |= {c: chr(c).lower() for c in range(65, 91)}
 
 
@@ -73,11 +74,15 @@ def bare(text: str | None) -> str:
     """Search key: ``plain`` without case, accents and repeated blanks; đ counts as d."""
     if not text:
         return ""
-    quick = text.translate(SIMPLE)
-    text = quick if quick.isascii() else plain(text).lower()
+    if text.isascii():
+        text = text.lower()
+    elif not LONG_WAY.search(text):  # letters with accents that come off, by C functions
+        text = unicodedata.normalize("NFD", text.lower().replace("đ", "d").replace("ð", "d")).encode("ascii", "ignore").decode()
+    else:
+        text = plain(text).lower()
     if not text.isascii():
         text = MARKS.sub("", unicodedata.normalize("NFD", text)).replace("đ", "d").replace("ð", "d")
-    return SPACE.sub(" ", text).strip()
+    return " ".join(text.split())
 
 
 WORD = re.compile(r"[a-z0-9]+")
