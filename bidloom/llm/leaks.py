@@ -74,7 +74,11 @@ class Index:
             owner += [k] * (len(ws) + 1)
             place += range(len(ws) + 1)
         self.owner, self.place = np.array(owner, np.int64), np.array(place, np.int64)
-        self.steps = self._steps(verbatim)
+        self.member = []
+        for ws in self.items:
+            mine = np.zeros(len(self.vocab) + 1, bool)
+            mine[ws] = True
+            self.member.append(mine)
         self.tables: dict[int, np.ndarray] = {}
         self.deep = self._ranks(np.array(line, np.int64), verbatim, True)
         self.short = self._ranks(np.array(line, np.int64), SEED, True)
@@ -101,9 +105,13 @@ class Index:
             if own:
                 self.tables[depth * 1000 + b] = np.unique(both[both >= 0])
             table = self.tables[depth * 1000 + b]
-            at = np.searchsorted(table, both)
-            at[at == len(table)] = 0
-            rank = np.where((both >= 0) & (len(table) > 0) & (table[at] == both if len(table) else False), at, -1)
+            rank = np.full_like(rank, -1)
+            some = np.flatnonzero(both >= 0)
+            if len(table) and len(some):
+                at = np.searchsorted(table, both[some])
+                at[at == len(table)] = 0
+                hit = table[at] == both[some]
+                rank[some[hit]] = at[hit]
         return rank
 
     def _matches(self, rank: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,8 +174,10 @@ class Index:
                     continue
                 last = s
                 a = max(lo, s - n // 8)
-                got = common(item_words, line[a : min(hi, a + int(n * STRETCH))].tolist())
-                best = max(best, got)
+                window = line[a : min(hi, a + int(n * STRETCH))]
+                if np.count_nonzero(self.member[k][window]) < least:
+                    continue  # too few of its words are the item's at all
+                best = max(best, common(item_words, window.tolist()))
                 if best >= least:
                     break
             if best >= least:
