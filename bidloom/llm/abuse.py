@@ -64,9 +64,10 @@ nhà thầu chậm tiến độ đề nghị giải trình bằng văn bản|gi
 
 MARKUP = re.compile(r"<[^<>]{0,300}>|&[a-z]{2,8};", re.I)
 BREAK = re.compile(r"[\n\r]+|(?<=[.!?;…])\s+")
-SPLIT_LETTERS = re.compile(r"(?<![^\W_])(?:[^\W\d_][*.\-_]){1,}[^\W\d_](?![^\W_])")
-LONG = re.compile(r"([^\W\d_])\1{2,}")
-MIXED = re.compile(r"(?<![^\W_])(?=[\w@$]*[^\W\d_])[\w@$]*[@$0-9][\w@$]*")
+SPLIT_LETTERS = re.compile(r"(?<![a-z0-9])(?:[a-z][*.\-_])+[a-z](?![a-z0-9])")
+LONG = re.compile(r"([a-z])\1\1+")
+MIXED = re.compile(r"[a-z]+[@$0-9][a-z@$0-9]*|[@$0-9]+[a-z][a-z@$0-9]*")
+OTHER = re.compile(r"[^\x00-\x7f]+")
 WORD = re.compile(r"[a-z]+|\d")
 LEET = str.maketrans({"@": "a", "$": "s", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"})
 
@@ -79,6 +80,8 @@ def undisguised(text: str) -> str:
     if "*" in text or "-" in text or "." in text or "_" in text:
         text = SPLIT_LETTERS.sub(lambda m: re.sub(r"[*.\-_]", "", m[0]), text)
     text = LONG.sub(r"\1", text)
+    if not text.isascii():
+        text = OTHER.sub(" ", text)
     return MIXED.sub(lambda m: m[0].translate(LEET) if sum(c.isalpha() for c in m[0]) * 2 >= len(m[0]) else m[0], text)
 
 
@@ -110,15 +113,20 @@ class Index:
         self.label = [e[1] for e in examples]
         self.strength = [e[2] for e in examples]
         self.doc = [e[3] for e in examples]
-        self.df, self.n = df, max(n, 1)
+        self.idf = {t: log((1 + max(n, 1)) / (1 + c)) for t, c in df.items()}
+        self.unseen = log(1 + max(n, 1))
         post: dict[str, list[tuple[int, float]]] = defaultdict(list)
         for i, e in enumerate(examples):
             for t, w in self.vector(e[0]).items():
                 post[t].append((i, w))
         #: term → (ids, weights, largest weight of each block, largest of all, largest among abusive examples)
+        #: The postings of abusive examples alone: most passages end there.
+        self.abusive: dict[str, list[tuple[int, float]]] = {}
         self.post: dict[str, tuple[list[int], list[float], list[float], float, float]] = {}
         for t, ps in post.items():
             ids, ws = [p[0] for p in ps], [p[1] for p in ps]
+            if bad := [p for p in ps if self.label[p[0]] > 0.5]:
+                self.abusive[t] = bad
             self.post[t] = ids, ws, [max(ws[a : a + BLOCK]) for a in range(0, len(ws), BLOCK)], max(ws), max((w for i, w in ps if self.label[i] > 0.5), default=0.0)
         self.vote = lru_cache(200_000)(self._vote)
 
@@ -126,7 +134,8 @@ class Index:
         return Index, self.args
 
     def vector(self, ws: tuple[str, ...]) -> dict[str, float]:
-        raw = {t: (1 + log(c)) * log((1 + self.n) / (1 + self.df.get(t, 0))) for t, c in terms(ws).items()}
+        idf, unseen = self.idf, self.unseen
+        raw = {t: idf.get(t, unseen) if c == 1 else (1 + log(c)) * idf.get(t, unseen) for t, c in terms(ws).items()}
         norm = sqrt(sum(v * v for v in raw.values())) or 1.0
         return {t: v / norm for t, v in raw.items() if v > 0}
 
@@ -138,6 +147,12 @@ class Index:
         q = self.vector(ws)
         if sum(w * self.post[t][4] for t, w in q.items() if t in self.post) < FLOOR:
             return []
+        bad: dict[int, float] = {}
+        for t, w in q.items():
+            for i, x in self.abusive.get(t, ()):
+                bad[i] = bad.get(i, 0.0) + w * x
+        if max(bad.values(), default=0.0) < FLOOR:
+            return []
         lists = sorted(((w * self.post[t][3], t, w) for t, w in q.items() if t in self.post), reverse=True)
         rest = sum(b for b, _, _ in lists)
         got: dict[int, float] = {}
@@ -166,7 +181,7 @@ class Index:
         abusive = [(s, i) for s, i in near if self.label[i] > 0.5]
         vote = sum(s * s * self.strength[i] * self.label[i] for s, i in near) / total
         close = max((s for s, _ in abusive), default=0.0)
-        return vote * min(1.0, close / 0.45), abusive[0][1] if abusive else -1
+        return vote * min(1.0, close / (0.45 if len(ws) >= 5 else 0.8)), abusive[0][1] if abusive else -1
 
     def score(self, text: str | None, without: int | None = None) -> tuple[float, str | None, int]:
         """(largest vote, the passage, the example nearest to it)."""
@@ -246,8 +261,7 @@ def fit(documents: DataFrame, key: str, text: str, marks: DataFrame, mark_key: s
             for p in ps:
                 bad[p].add(k)
     base = seeds()
-    ok_index = Index([(p, 0.0, 1.0, None) for p in fine], df, n)
-    ok_index.post = {t: (*v[:4], v[3]) for t, v in ok_index.post.items()}
+    ok_index = Index([(p, 1.0, 1.0, None) for p in fine], df, n)  # looked for here as abuse is elsewhere
     seed_index = Index(base, df, n)
     taken = []
     for p, owners in bad.items():
