@@ -60,6 +60,8 @@ we are disappointed with the late delivery please reply politely|the client comp
 con chó robot kiểm tra đường ống bị hỏng pin thay bộ|đầu nối đực và đầu nối cái của ống mềm phải cùng ren kép ren nipple|khách hàng phàn nàn phòng vật tư nói chuyện thiếu lịch sự đề nghị trao đổi lại nhẹ nhàng|bộ khử mùi cho phòng vệ sinh nam và nữ thiết bị bồn cầu kiểu bệt
 thang chết cửa chết và mạng đi chết phải bịt kín trước ngày|đá dăm bị lẫn bùn đơn giá đồng|nội quy công trường cấm dùng lời lẽ xúc phạm cấm quấy rối vi phạm phạt đồng|dâm bụt và cây che nắng thuộc phần cảnh quan không nằm trong mục|người già và người tàn tật có lối đi riêng|rác thải phải thu gom đúng nơi quy định
 nhà thầu chậm tiến độ đề nghị giải trình bằng văn bản|giá chào cao hơn thị trường nhiều đề nghị xem lại|cá ngựa và con lợn đất trang trí sảnh|phòng thay đồ nam nữ|bao cao su chèn khe|ống kính camera trước phòng bảo vệ|gửi cho anh ảnh hiện trường|hệ thống báo cháy và gái giữ cửa
+items without a price are taken as included elsewhere in the bill|items without a rate are deemed included elsewhere in the bill|no explanation is needed below this deviation|who checked this quantity on site and when|send me the drawings and we will look at them in the site office|please watch the hoist on the scaffold tonight
+công trường làm thêm cả đêm|kỹ thuật viên ca đêm đo lại|báo giá kiểu này cần gửi lại|bảng giá này do phòng vật tư lập|đọc thư của tư vấn giám sát và trả lời|nhìn mặt bằng tầng hầm
 """
 
 MARKUP = re.compile(r"<[^<>]{0,300}>|&[a-z]{2,8};", re.I)
@@ -175,11 +177,11 @@ class Index:
     def _vote(self, ws: tuple[str, ...], without: int | None = None) -> tuple[float, int]:
         """(vote of the nearest examples, the nearest abusive example or -1)."""
         near = self.nearest(ws, without)
-        total = sum(s * s * self.strength[i] for s, i in near)
-        if not total:
+        if not near:
             return 0.0, -1
+        weigh = [(s * s / (1.05 - s) * self.strength[i], self.label[i]) for s, i in near]
         abusive = [(s, i) for s, i in near if self.label[i] > 0.5]
-        vote = sum(s * s * self.strength[i] * self.label[i] for s, i in near) / total
+        vote = sum(w * y for w, y in weigh) / sum(w for w, _ in weigh)
         close = max((s for s, _ in abusive), default=0.0)
         return vote * min(1.0, close / (0.45 if len(ws) >= 5 else 0.8)), abusive[0][1] if abusive else -1
 
@@ -271,7 +273,7 @@ def fit(documents: DataFrame, key: str, text: str, marks: DataFrame, mark_key: s
         near = ok_index.nearest(p)
         if v >= 0.6 and (not near or near[0][0] < 0.6):
             taken.append((p, 1.0, 1.0, next(iter(owners)) if len(owners) == 1 else None))
-    calm = [(p, 0.0, 0.5, None) for p in fine if seed_index.vote(p)[0] < 0.6]
+    calm = [(p, 0.0, 1.0, None) for p in fine if seed_index.vote(p)[0] < 0.6]
     index = Index(base + taken + calm, df, n)
     votes = np.array([max((index._vote(p, k)[0] for p in ps), default=0.0) for k, ps, _ in read])
     steps = isotonic(votes, np.array([float(b) for _, _, b in read])) if len(read) >= 50 else []

@@ -111,16 +111,17 @@ class Mapper:
         for form, accented in forms.items():
             limit = self.limit(len(form))
             if not limit:
-                continue
+                continue  # too short to be told from a misspelling
             some: set[int] = set()
             for d in self.deletes(form):
                 some |= self.deleted.get(d, set())
             for at in some:
                 i, name, with_accents, tokens = self.names[at]
-                d = osa(form, name if accented is not None else "".join(sorted(tokens)), min(limit, self.limit(len(name))))
-                if d > min(limit, self.limit(len(name))):
+                most = max(limit, self.limit(len(name)))
+                d = osa(form, name if accented is not None else "".join(sorted(tokens)), most)
+                if d > most:
                     continue
-                if any(w in self.lexicon and w not in tokens and len(w) > 1 for w in words):
+                if d > 1 and any(w in self.lexicon and w not in tokens and len(w) > 1 for w in words):
                     continue  # the word is another entry's, not a misspelling
                 fine = osa(accented, with_accents, 6) / 10 if accented is not None else 0.3
                 best[i] = min(best.get(i, 99), d + fine)
