@@ -8,7 +8,7 @@ its largest one, and isotonic regression on the reviewed documents (each without
 
 Labelled examples are the seed passages below and the passages of reviewed documents: of documents marked fine as examples
 of acceptable talk, of rejected ones those that stand closer to a seed or to another rejected document than to any fine one.
-At most ``MOST_MARKED`` reviewed documents are taken (by hash of their id). Document frequencies are counted over all passages.
+At most ``MOST_MARKED`` reviewed documents are taken (by hash of their id), and as many of them as hold ``MOST_CHARACTERS`` together. Document frequencies are counted over all passages.
 
 Defined cases: null, empty and wordless texts score 0; documents with contradicting reviews count by majority, a tie not
 at all; texts of any length are read whole; repeated documents get equal scores; without reviews only the seeds vote; an empty
@@ -27,10 +27,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from bidloom.functions.fold import bare
 
 MOST_MARKED = 3000
+MOST_CHARACTERS = 20_000_000
 NEAREST = 8
 FLOOR = 0.25
 BLOCK = 64
@@ -236,7 +238,9 @@ def fit(documents: DataFrame, key: str, text: str, marks: DataFrame, mark_key: s
     said = F.lower(F.trim(F.col(verdict)))
     told = marks.filter(F.col(mark_key).isNotNull()).groupBy(F.col(mark_key).alias(key)).agg(F.sum(F.when(said == "reject", 1).when(said == "ok", -1).otherwise(0)).alias("balance")).filter("balance <> 0")
     some = told.orderBy(F.xxhash64(key), key).limit(MOST_MARKED)
-    reviewed = documents.select(key, text).join(F.broadcast(some), key).dropDuplicates([key]).collect()
+    held = documents.select(key, text).join(F.broadcast(some), key).dropDuplicates([key])
+    so_far = F.sum(F.length(text)).over(Window.orderBy(F.xxhash64(key), key).rowsBetween(Window.unboundedPreceding, 0))  # at most MOST_MARKED rows
+    reviewed = held.withColumn("__so_far", so_far).filter(F.col("__so_far") <= MOST_CHARACTERS).collect()
     read = [(r[0], [p for p in passages(r[1])], r[2] > 0) for r in reviewed]
     vocabulary = {t for ws, _, _, _ in seeds() for t in terms(ws)} | {t for _, ps, _ in read for p in ps for t in terms(p)}
 
