@@ -31,8 +31,9 @@ DELIMITER = re.compile(
 NUMBER = re.compile(r"\(\d{1,2}\)\s*|\d{1,2}[.)]\s+")
 LABEL = re.compile(r"(thương hiệu|nhãn hiệu|hãng sản xuất|hãng sx|hãng|brands?|nsx(?=\s*:)|th(?=\s*:)|manufacturer|xuất xứ|origins?|nước sản xuất|made in|xx(?=\s*:))\b\s*[:=]?\s*", re.I)
 ORIGIN_LABELS = ("xuất", "origin", "nước", "made", "xx")
-EQUIVALENT = re.compile(r"[\s,;/(\[-]*(?:\b(?:hoặc|or|và/hoặc|and/or)\s+)?(?:các hãng\s+)?(?:tương đương|equivalent|equal)\b[\s).\]]*", re.I)
+EQUIVALENT = re.compile(r"[\s,;/(\[-]*(?:\b(?:hoặc|or|và/hoặc|and/or)\s+)?(?:các hãng\s+)?(?:tương đương|equivalent|equal)\b[\s).\]]*|\s+hoặc\s+t[^\s,;/|]{1,9}ng\s+[^\s,;/|]{1,12}ng\s*$", re.I)
 QUOTES = {'"': '"', "'": "'", "“": "”", "‘": "’", "«": "»"}
+LONE_DASH = re.compile(r"[-–—]+\s+")
 DASH = re.compile(r"\s[-–—]+\s")
 #: A field without any of these names at most one value.
 MAYBE = r"[;,、|+•/\t\n\[\]]|\s[-–—]+\s|(?i)\s(và|and|or|hoặc)\s|\d[.)]\s|&"
@@ -113,6 +114,10 @@ class Segmenter:
                         dashes.add(len(pieces))
                     at, fresh = m.end(), True
                     continue
+            if fresh and at and (m := LONE_DASH.match(text, at)):
+                dashes.add(len(pieces))
+                at = m.end()
+                continue
             if fresh and (m := NUMBER.match(text, at)):
                 at = m.end()
                 continue
@@ -149,7 +154,7 @@ class Segmenter:
         """(kind, number within the kind, value as written) of one field."""
         if not text or not text.strip():
             return []
-        cut = EQUIVALENT.sub(lambda m: " " if m.end() < len(m.string) else "", text) if re.search("(?i)tương đương|equivalent|equal", text) else text
+        cut = EQUIVALENT.sub(lambda m: " " if m.end() < len(m.string) else "", text) if re.search("(?i)tương đương|equivalent|equal|hoặc t", text) else text
         pieces, labels, dashes = self._scan(cut)
         spans = {(s, e): k for s, e, k in self.mentions(cut)}
         n = len(pieces)
@@ -157,7 +162,7 @@ class Segmenter:
         for j in range(1, n + 1):
             found = (-1e9, j - 1, None)
             for i in range(j - 1, max(-1, j - 5), -1):
-                if i < j - 1 and any(k in labels or k in dashes or pieces[k][1] for k in range(i + 1, j)) or i < j - 1 and pieces[i][1]:
+                if i < j - 1 and not all(re.search(r"\w", pieces[k][0]) for k in (i, j - 1)) or i < j - 1 and any(k in labels or k in dashes or pieces[k][1] for k in range(i + 1, j)) or i < j - 1 and pieces[i][1]:
                     break
                 raw = pieces[i][0].strip() if i == j - 1 else cut[pieces[i][2] : pieces[j - 1][3]].strip()
                 kind = spans.get((pieces[i][2], pieces[j - 1][3])) or self.kind_of(raw)
@@ -226,7 +231,7 @@ def split_values(df: DataFrame, column: str, segmenter: Segmenter, least: int =
         return s.map(lambda t: [{"list_kind": k, "value_no": n, "value_text": v} for k, n, v in segmenter.split(t)] if t else [])
 
     some = df.filter(F.col(column).rlike(MAYBE)) if least > 1 else df.filter(F.col(column).isNotNull())
-    got = some.withColumn("__values", run(F.col(column))).filter(F.size("__values") >= least)
+    got = some.withColumn("__values", run.asNondeterministic()(F.col(column))).filter(F.size("__values") >= least)
     return got.withColumn("__v", F.explode("__values")).select(*df.columns, "__v.*")
 
 

@@ -213,12 +213,16 @@ def safe_cells(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "item_records").select("item_id", text.safe_cell(F.col("item_name")).alias("cell"), text.safe_sheet_name(F.col("sheet")).alias("sheet"))
 
 
-@query(f"""WITH t AS (SELECT p_partkey, list_distinct(string_split(lower(p_name), ' ')) AS w, p_brand, p_type FROM part)
-SELECT a.p_partkey AS a, b.p_partkey AS b, {sql4('len(list_intersect(a.w, b.w))::DOUBLE / greatest(len(list_distinct(list_concat(a.w, b.w))), 1)')} AS score FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.p_type = b.p_type AND a.p_partkey < b.p_partkey""")
+@query(f"""WITH t AS (SELECT p_partkey AS a, lead(p_partkey) OVER w AS b, list_distinct(string_split(lower(p_name), ' ')) AS wa, list_distinct(string_split(lower(lead(p_name) OVER w), ' ')) AS wb FROM part WINDOW w AS (PARTITION BY p_brand, p_type ORDER BY p_partkey))
+SELECT a, b, {sql4('len(list_intersect(wa, wb))::DOUBLE / greatest(len(list_distinct(list_concat(wa, wb))), 1)')} AS score FROM t WHERE b IS NOT NULL""")
 def word_overlap(spark: SparkSession, d: str) -> DataFrame:
-    t = read(spark, d, "part").select("p_partkey", F.array_distinct(F.split(F.lower("p_name"), " ")).alias("w"), "p_brand", "p_type")
-    a, b = t.select(F.col("p_partkey").alias("a"), F.col("w").alias("wa"), "p_brand", "p_type"), t.select(F.col("p_partkey").alias("b"), F.col("w").alias("wb"), "p_brand", "p_type")
-    return a.join(b, ["p_brand", "p_type"]).filter("a < b").select("a", "b", r4(similarity.jaccard(F.col("wa"), F.col("wb"))).alias("score"))
+    """Shared words of each part's name and the next one's of its brand and type."""
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy("p_brand", "p_type").orderBy("p_partkey")
+    words = lambda c: F.array_distinct(F.split(F.lower(c), " "))
+    t = read(spark, d, "part").select(F.col("p_partkey").alias("a"), F.lead("p_partkey").over(w).alias("b"), words(F.col("p_name")).alias("wa"), words(F.lead("p_name").over(w)).alias("wb"))
+    return t.filter("b is not null").select("a", "b", r4(similarity.jaccard(F.col("wa"), F.col("wb"))).alias("score"))
 
 
 @query(f"""WITH q AS (SELECT vec_id, embedding, label FROM embeddings WHERE vec_id % 50 = 0),
@@ -247,8 +251,7 @@ SELECT l.p_partkey AS a, r.p_partkey AS b FROM l JOIN r ON l.p_name = r.p_name A
 def exact_match(spark: SparkSession, d: str) -> DataFrame:
     """One-to-one matches of two documents (even and odd parts) by equal name, type and brand."""
     l, r = _halves(spark, d)
-    pairs = matching.keyed_candidates(l, r, ["p_name", "p_type", "p_brand"]).select("a", "b", F.lit(-1.0).alias("order"))
-    return matching.assign_one_to_one(pairs, "a", "b", ["order"]).select("a", "b")
+    return matching.match_by_keys(l, r, "a", "b", ["p_name", "p_type", "p_brand"], F.lit(1.0)).select("a", "b")
 
 
 def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -170,10 +170,13 @@ def filled_cells(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def bidder_clusters(spark: SparkSession, d: str) -> DataFrame:
-    """Parts of one brand and name linked by closeness in size; no two of one size class fall together."""
+    """Parts of one brand and name, each linked to the next two in size; no two of one size class fall together."""
+    from pyspark.sql.window import Window
+
     p = read(spark, d, "part").select("p_partkey", "p_name", "p_brand", "p_size")
-    a, b = p.select(F.col("p_partkey").alias("a"), "p_name", "p_brand", F.col("p_size").alias("sa")), p.select(F.col("p_partkey").alias("b"), "p_name", "p_brand", F.col("p_size").alias("sb"))
-    edges = a.join(b, ["p_name", "p_brand"]).filter("a < b and sa <> sb").select("a", "b", (1 - F.abs(F.col("sa") - F.col("sb")) / 100).alias("score"))
+    w = Window.partitionBy("p_name", "p_brand").orderBy("p_size", "p_partkey")
+    near = [p.select(F.col("p_partkey").alias("a"), F.lead("p_partkey", i).over(w).alias("b"), (1 - (F.lead("p_size", i).over(w) - F.col("p_size")) / 100).alias("score")) for i in (1, 2)]
+    edges = near[0].union(near[1]).filter("b is not null and score < 1")
     return matching.constrained_clusters(edges, p.select(F.col("p_partkey").alias("node"), F.col("p_size").cast("string").alias("bidder")))
 
 

@@ -83,3 +83,13 @@ def test_ordered_rows(spark):
 def test_legend(spark):
     rows = spark.createDataFrame([(["[1]", "[2]", "3", "4.0", "(5)=(3)*(4)"],), (["1", "Cáp", "3", "4"],), ([None, "1"],), (None,)], "c array<string>")
     assert [bool(r[0]) for r in rows.select(ordered.is_legend(F.col("c"))).collect()] == [True, False, False, False]
+
+
+def test_hot_keys_match_in_order(spark):
+    left = spark.createDataFrame([(i, "hot", i % 5) for i in range(400)] + [(1000, "cold", 1), (1001, None, 2), (1002, "", 3)], "a long, k string, x int")
+    right = spark.createDataFrame([(i, "hot") for i in range(250)] + [(2000, "cold"), (2001, "cold"), (2002, None), (2003, "")], "b long, k string")
+    got = matching.match_by_keys(left, right, "a", "b", ["k"], F.lit(1.0), most=20).collect()
+    assert len(got) == 251 and len({r.a for r in got}) == 251 and len({r.b for r in got}) == 251
+    assert [r.b for r in got if r.a == 1000] == [2000]
+    n = matching.numbered(left.filter("k = 'hot'"), ["k"], "a").select("at").collect()
+    assert sorted(r.at for r in n) == list(range(1, 401))
