@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from bidloom.operators import packed, units
 from bidloom.plans.registry import query, read
 
-COMMON = F.create_map(*[F.lit(x) for x in ("length", "m", "area", "m²", "volume", "m³", "mass", "kg", "count", "cái")])
+
+
+def common_unit(kind: F.Column) -> F.Column:
+    return F.create_map(*[F.lit(x) for x in ("length", "m", "area", "m²", "volume", "m³", "mass", "kg", "count", "cái")])[kind]
+
 
 
 def measured(spark: SparkSession, d: str) -> DataFrame:
@@ -29,7 +33,7 @@ def p3_units(spark: SparkSession, d: str) -> DataFrame:
     kind = F.coalesce("kind", F.when(F.col("route") == "convert", F.col("predicted_kind")))
     factor = F.coalesce("factor_micro", F.when(F.col("route") == "convert", F.col("predicted_factor")))
     return out.select(
-        "src", "row_id", kind.alias("kind"), COMMON[kind].alias("unit_name"), factor.alias("factor_micro"), (F.col("quantity") * factor / 1e6).alias("common_quantity"),
+        "src", "row_id", kind.alias("kind"), common_unit(kind).alias("unit_name"), factor.alias("factor_micro"), (F.col("quantity") * factor / 1e6).alias("common_quantity"),
         F.when(F.col("src") == "price_references", F.col("price") * 1e6 / factor).alias("common_price"), F.coalesce("told_by", "route").alias("told_by"), "confidence",
     )
 
@@ -40,7 +44,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     rows = measured(spark, d)
     out = units.predict_units(rows, "row_id", {c: F.col(c) for c in ("quantity", "price", "source", "name")})
     told = F.col("told_by")
-    return out.filter(F.col("factor_micro").isNotNull() & (told == "text") | (told == "unit") & ~F.col("common") & F.col("factor_micro").isNotNull()).select("src", "row_id", COMMON[F.col("kind")].alias("unit_name"), "factor_micro")
+    return out.filter(F.col("factor_micro").isNotNull() & (told == "text") | (told == "unit") & ~F.col("common") & F.col("factor_micro").isNotNull()).select("src", "row_id", common_unit(F.col("kind")).alias("unit_name"), "factor_micro")
 
 
 def segmenter(spark: SparkSession, d: str) -> packed.Segmenter:
