@@ -39,3 +39,47 @@ def document_summary(cells: DataFrame, by: str, text_least: float = 0.82, number
     """Cells, blanks, doubtful ones and mean confidence per document; numbers need more confidence than texts."""
     doubt = F.col("confidence") < F.when(F.col("text").rlike(r"^[\d.,\s()+-]+$"), number_least).otherwise(text_least)
     return cells.groupBy(by).agg(F.count("*").alias("cells"), F.count_if(F.coalesce(F.trim("text"), F.lit("")) == "").alias("blank"), F.count_if(doubt).alias("doubtful"), F.avg("confidence").alias("mean_confidence"))
+
+
+def merge_boxes(boxes: DataFrame, page: str, overlap: float = 0.6, least_gap: float = 20.0, share: float = 0.025) -> DataFrame:
+    """Boxes (page, x0, y0, x1, y1, height of the page) that stand over each other in one column become one: (page, x0, y0, x1, y1, n).
+
+    Per page, from top to bottom: a box joins the lowest one so far that it overlaps sideways by the share of the narrower
+    and from whose foot it is no farther than the gap. Pages are groups; a page's boxes are few."""
+    import pandas as pd
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        out: list[list[float]] = []
+        for x0, y0, x1, y1, h in pdf.sort_values(["y0", "x0"])[["x0", "y0", "x1", "y1", "height"]].itertuples(index=False):
+            gap = max(least_gap, share * h)
+            for b in reversed(out):
+                side = min(x1, b[2]) - max(x0, b[0])
+                if side >= overlap * min(x1 - x0, b[2] - b[0]) and y0 - b[3] <= gap:
+                    b[0], b[1], b[2], b[3], b[4] = min(b[0], x0), min(b[1], y0), max(b[2], x1), max(b[3], y1), b[4] + 1
+                    break
+            else:
+                out.append([x0, y0, x1, y1, 1])
+        return pd.DataFrame([[pdf[page].iloc[0], *b] for b in out], columns=[page, "x0", "y0", "x1", "y1", "n"])
+
+    kind = dict(boxes.dtypes)[page]
+    return boxes.groupBy(page).applyInPandas(fold, f"{page} {kind}, x0 double, y0 double, x1 double, y1 double, n int")
+
+
+def assign_fields(scores: DataFrame, table: str) -> DataFrame:
+    """C20: (table, col, field): every column and every field once, best score first, then the leftmost column."""
+    from bidloom.operators.matching import assign_one_to_one
+
+    ids = scores.withColumn("c", F.concat_ws(":", table, "col")).withColumn("f", F.concat_ws(":", table, "field")).withColumn("minus", -F.col("score"))
+    got = assign_one_to_one(ids.select("c", "f", "minus", "col", table, "field"), "c", "f", ["minus", "col"])
+    return got.select(table, "col", "field")
+
+
+def assemble_rows(cells: DataFrame, by: list[str], fields: list[str], numeric: list[str], required: list[str]) -> DataFrame:
+    """C17: cells (by…, field, text, confidence) as one row per line: fields, parsed numbers, least confidence and flags for what is missing or unreadable."""
+    from bidloom.functions.number import parse_number
+
+    wide = cells.groupBy(*by).pivot("field", fields).agg(F.max_by("text", "confidence"))
+    sure = cells.groupBy(*by).agg(F.min("confidence").alias("least_confidence"))
+    flags = [F.when(F.coalesce(F.trim(f), F.lit("")) == "", F.lit(f"missing {f}")) for f in required] + [F.when((F.trim(f) != "") & parse_number(F.col(f)).isNull(), F.lit(f"unreadable {f}")) for f in numeric]
+    out = wide.withColumn("flags", F.filter(F.array(*flags), lambda x: x.isNotNull()) if flags else F.array().cast("array<string>"))
+    return out.withColumns({f: parse_number(F.col(f)) for f in numeric}).join(sure, by)

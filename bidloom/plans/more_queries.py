@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bidloom.functions import text
 from bidloom.operators import compare, forest, matching, peers, readings, retrieval
+from bidloom.plans import documents
 from bidloom.plans.engine_queries import QUOTES, quotes, r4, sql4
 from bidloom.plans.registry import query, read
 from bidloom.sources import tables
@@ -183,3 +184,21 @@ def bidder_clusters(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT item_id, lower(regexp_replace(regexp_replace(replace(strip_accents(lower(coalesce(sheet, ''))), 'đ', 'd'), '[^0-9a-z]+', ' ', 'g'), '^ +| +$', '', 'g')) AS sheet_key FROM item_records""")
 def sheet_keys(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "item_records").select("item_id", text.strip_accents(text.normalize_text(F.coalesce("sheet", F.lit("")))).alias("sheet_key"))
+
+
+def line_items(spark: SparkSession, d: str, role: str) -> DataFrame:
+    """Rows of one role in their latest state, as line items."""
+    rows = peers.first_per_key(read(spark, d, "item_records").filter(F.col("role") == role), ["source_id", "sheet", "row_number"], F.desc("loaded_at"), F.desc("item_id"))
+    return rows.withColumn("path", F.coalesce("section_path", F.array().cast("array<string>"))).withColumnRenamed("item_id", "id")
+
+
+@query()
+def document_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The invitation's rows matched one to one with the bids' rows through the whole cascade."""
+    return documents.match_documents(line_items(spark, d, "HSMT"), line_items(spark, d, "HSDT")).select("id_r", "id_b", "kind", r4("score").alias("score"))
+
+
+@query()
+def peer_catalogue(spark: SparkSession, d: str) -> DataFrame:
+    """Items that several bidders offer, without a reference document."""
+    return documents.peer_catalogue(line_items(spark, d, "HSDT")).select("cluster", "bidders", "item_name", "unit", "representative")
