@@ -91,10 +91,12 @@ LETTERWISE = {
 }
 CIPHERS = {f"utf8_as_{c}": p for c, p in U8.items()} | LETTERWISE
 TYPICAL = {
-    "mono": re.compile(rf"[¡-¯´-¾]|(?<=[a-z])[{UP}Æ×ÖÏÎÑÞß]|[÷ñïîë]"),
-    "vowel_mark": re.compile("[aeiouyôöAEIOUYÔÖ][ùøûõïåäëüØÛÏÅÄËÜ]|[aeAE][áàâãéèê]|[ñöÑÖ]"),
-    "vowel_tone": re.compile(f"[{VOWELS}AEOU][ìÌòÒÞ]|[ðÐ](?=[{VOWELS}a-z])|ýõ"),
+    "mono": re.compile(rf"[¡-¬®¯´-¾]|(?<=[a-z])[{UP}×Þ]|(?<=[A-Z])[{UP}](?=[a-z])|[A-Za-z]?[ÄÅÆÇËÎÏÑÖÜßäåæëîïñöûüþÿ÷](?=[a-z ]|$)"),
+    "vowel_mark": re.compile("[aeiouyôöAEIOUYÔÖ][ùøûõïåäëüØÛÏÅÄËÜ]|[aeAE][áàâãéèê]|[oO][âêäå]|[ñöÑÖ]"),
+    "vowel_tone": re.compile(f"[{VOWELS}AEOUYIÂĂÊÔƠƯ][ìÌòÒÞ]|[ðÐ](?=[{VOWELS}a-z])|ýõ"),
 }
+#: Letters that a unit may stand for; the bigrams around decide among them.
+CHOICES = 5
 TOKEN = re.compile(r"[^\s!-/:-@\[-`{-~]+|[^\s]*[\x80- ­][^\s]*")
 BLANK = re.compile(r"[ \t\r\n]+")
 NEUTRAL = set("²³×Ø°±–—“”‘’•…®©")
@@ -210,7 +212,9 @@ def _em(pdf: pd.DataFrame, rounds: int = 30) -> pd.DataFrame:
         prior = table.sum(1) / table.sum()
         theta = theta * prior
         theta /= theta.sum(1, keepdims=True)
-        for _ in range(rounds):
+        weight = np.bincount(u, n, len(units))
+        upper = np.array([x[0].isupper() and cipher != "mono" for x in units], bool)
+        for step in range(rounds):
             ahead, behind = theta @ given, given @ theta.T
             pl = np.where((left < 0)[:, None], ahead[np.where(left < 0, -1 - left, 0)], given[np.maximum(left, 0)])
             pr = np.where((right < 0)[:, None], behind.T[np.where(right < 0, -1 - right, 0)], given.T[np.maximum(right, 0)])
@@ -219,9 +223,15 @@ def _em(pdf: pd.DataFrame, rounds: int = 30) -> pd.DataFrame:
             theta = np.full_like(theta, 1e-6) * may
             np.add.at(theta, u, post)
             theta /= theta.sum(1, keepdims=True) + 1e-300
-        best = theta.argmax(1)
-        weight = np.bincount(u, n, len(units))
-        out += [(cipher, "unit", x, "" if b < 2 else LETTERS[b - 2], str(int(w)), float(theta[i, b])) for i, (x, b, w) in enumerate(zip(units, best, weight, strict=True))]
+            if step >= rounds // 3:  # a cipher seldom has two units for one letter: units of one case compete for it
+                mass = theta * weight[:, None]
+                for case in (True, False):
+                    own = upper == case
+                    if own.any():
+                        theta[own] *= (mass[own] + 1e-9) / (mass[own].sum(0, keepdims=True) + 1e-9)
+                theta /= theta.sum(1, keepdims=True) + 1e-300
+        best = np.argsort(-theta, 1)[:, :CHOICES]
+        out += [(cipher, "unit", x, LETTERS[b - 2], str(int(w)), float(theta[i, b])) for i, (x, bs, w) in enumerate(zip(units, best, weight, strict=True)) for b in bs if b >= 2 and theta[i, b] >= 0.01]
     return pd.DataFrame(out, columns=["cipher", "what", "l", "u", "r", "p"])
 
 
@@ -232,11 +242,18 @@ class Repairer:
         self.sure = sure
         self.count = np.zeros((A, A))
         self.map: dict[str, dict[str, tuple[str, float]]] = {c: {} for c in CIPHERS}
+        self.choices: dict[str, dict[str, list[tuple[str, float]]]] = {c: {} for c in CIPHERS}
         for cipher, what, l, u, r, p in rows:
             if what == "lm":
                 self.count[int(l), int(r)] = p
             else:
-                self.map[cipher][l] = (u, p)
+                self.choices[cipher].setdefault(l, []).append((u, p))
+        for cipher, units in self.choices.items():
+            for unit, ls in units.items():
+                ls.sort(key=lambda x: (-x[1], x[0]))
+                self.map[cipher][unit] = ls[0]
+        smooth = self.count + 0.05
+        self.given = np.log(smooth / smooth.sum(1, keepdims=True))
         total = self.count.sum(0, keepdims=True) + 1
         #: A bigram is known if it makes up a share of its rarer letter's occurrences that chance spelling slips don't reach.
         self.known = self.count >= np.maximum(3, 2e-4 * np.minimum(self.count.sum(1, keepdims=True) + 1, total))
@@ -244,7 +261,7 @@ class Repairer:
 
     def __reduce__(self):
         rows = [("", "lm", a, "", b, float(self.count[a, b])) for a, b in zip(*np.nonzero(self.count), strict=True)]
-        rows += [(c, "unit", u, l, "", p) for c, m in self.map.items() for u, (l, p) in m.items()]
+        rows += [(c, "unit", u, l, "", p) for c, m in self.choices.items() for u, ls in m.items() for l, p in ls]
         return Repairer, (rows, self.sure)
 
     def strange(self, word: str) -> int:
@@ -270,7 +287,28 @@ class Repairer:
             return letter.upper() if m[0][0].isupper() and cipher == "vowel_mark" or around.isupper() and around.isascii() else letter
 
         out = CIPHERS[cipher].sub(one, word)
-        return None if missing or out == word else out
+        if missing or out == word:
+            return None
+        likely = self.likeliest(word, cipher)
+        return likely if likely and self.strange(likely) <= self.strange(out) else out
+
+    def likeliest(self, word: str, cipher: str) -> str | None:
+        """The likeliest letters for the word's units under unit probabilities and bigrams together (Viterbi)."""
+        parts: list[list[tuple[str, float]]] = []
+        at = 0
+        for m in CIPHERS[cipher].finditer(word):
+            parts += [[(c, 0.0)] for c in word[at : m.start()]]
+            upper = m[0][0].isupper() and cipher == "vowel_mark" or (around := word[max(0, m.start() - 1) : m.start()] + word[m.end() : m.end() + 1]).isupper() and around.isascii()
+            parts.append([(l.upper() if upper else l, float(np.log(p))) for l, p in self.choices[cipher].get(m[0], [])])
+            at = m.end()
+        parts += [[(c, 0.0)] for c in word[at:]]
+        code = lambda c: INDEX.get(c.lower(), 1 if c.isdigit() else 0)
+        paths = [(0.0, "", 0)]
+        for options in [*parts, [("", 0.0)]]:
+            paths = [max(((s + self.given[last, code(c) if c else 0] + e, done + c, code(c) if c else 0) for s, done, last in paths), key=lambda x: x[0]) for c, e in options]
+            if not paths:
+                return None
+        return max(paths)[1]
 
     def _undo(self, text: str, cipher: str) -> str | None:
         """The text with UTF-8 units deciphered, twice if it was garbled twice; None if fewer than half of the units come out as letters.
@@ -304,7 +342,7 @@ class Repairer:
         if kind is None:
             done: list[str] = []
             for name in ([name] if name in LETTERWISE else []) + [c for c in LETTERWISE if c != name]:
-                if not CIPHERS[name].search(text):
+                if not TYPICAL[name].search(text):
                     continue
                 parts, hits = [], 0
                 for piece in re.split(r"([\s!-/:-@\[-`{-~]+)", text):
