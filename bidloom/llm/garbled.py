@@ -55,7 +55,7 @@ def finder() -> RowFinder:
 
 
 #: Places where a character is gone.
-LOST = re.compile(r"�|(?<=\w)\?(?=\w)|\?\?|(?<=\w)\?(?=[ ,;)\-]|$)|(?<![\w?])\?(?=\w)")
+LOST = re.compile(r"�|(?<=\w)\?(?=\w)|\?\?|(?<=\w)\?(?= [^\W_A-Z]|[,;)\-])|(?<![\w?])\?(?=\w)")
 
 
 def _images(codec: str) -> dict[int, str]:
