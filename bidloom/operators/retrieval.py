@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidloom.functions import similarity, text
+from bidloom.functions.fold import words
 from bidloom.operators.peers import top_per_group
 
 
@@ -40,3 +42,32 @@ def best_requirement(items: DataFrame, requirements: DataFrame, item_id: str, re
     lexical = (0.35 * similarity.measure("weighted_ratio", x, y) + 0.35 * similarity.measure("token_set_ratio", x, y) + 0.30 * similarity.measure("partial_ratio", x, y)) / 100
     best = top_per_group(pairs.withColumn("score", F.least(F.lit(1.0), 0.72 * lexical + 0.28 * F.col("overlap"))).filter(F.col("score") >= least), ["t"], 1, F.desc("score"), F.col(requirement_id))
     return items.join(best.select("t", requirement_id, "score"), items[item_text] == F.col("t")).select(item_id, requirement_id, "score")
+
+
+def names_agree(candidate: str | None, allowed: str | None, whole: float = 82, part: float = 90) -> bool:
+    """one name holds the other, or they are alike as a whole or in part; blanks agree with nothing."""
+    a, b = (" ".join(words(x)) for x in (candidate, allowed))
+    if not a or not b:
+        return False
+    return a in b or b in a or similarity.ratio(a, b) >= whole or similarity.partial_ratio(a, b) >= part
+
+
+def allowed(value: str, choices: str, groups: dict[str, list[str]] | None = None) -> Column:
+    """whether a value is among an array of choices: the same name, or a member of a group that is a choice (continents, for instance). Null for null choices.
+
+    Takes two column names; names are compared in Arrow batches."""
+    members = {" ".join(words(k)): [" ".join(words(v)) for v in vs] for k, vs in (groups or {}).items()}
+
+    @F.pandas_udf("boolean")
+    def run(v: pd.Series, c: pd.Series) -> pd.Series:
+        def one(value, options):
+            if options is None:
+                return None
+            if not value:
+                return False
+            key = " ".join(words(value))
+            return any(o and (names_agree(value, o) or any(m and m in key for m in members.get(" ".join(words(o)), ()))) for o in options)
+
+        return pd.Series([one(a, b) for a, b in zip(v, c, strict=True)], dtype=object)
+
+    return run(F.col(value), F.col(choices))

@@ -83,3 +83,21 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [(r.n, r.least, r.most) for r in spark.sql("select * from spread").collect()] == [(2, 1.0, 3.0)]
+
+
+def test_names_and_choices(spark):
+    assert retrieval.names_agree("Công ty Cadivi", "CADIVI") and retrieval.names_agree("Schneidr Electric", "Schneider Electric") and not retrieval.names_agree("LS", "Cadivi") and not retrieval.names_agree("", "x")
+    df = spark.createDataFrame([(1, "Đức", ["EU", "Nhật Bản"]), (2, "nhat ban", ["EU", "Nhật Bản"]), (3, "Trung Quốc", ["EU", None]), (4, "Ý", None), (5, None, ["EU"])], "id int, origin string, choices array<string>")
+    got = {r.id: r.ok for r in df.select("id", retrieval.allowed("origin", "choices", {"EU": ["Đức", "Ý"]}).alias("ok")).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: None, 5: False}
+
+
+def test_word_scores(spark):
+    from bidloom.functions import number, text
+
+    df = spark.createDataFrame([("Khối lượng đơn giá a b và của",), (None,)], "t string")
+    got = [r[0] for r in df.select(text.keyword_score(F.col("t"), {"luong": 3, "gia": 4}, ["va", "cua"])).collect()]
+    assert got == [7, None] or got[0] == 7
+    assert df.select(text.content_tokens(F.col("t"), ["va"])).first()[0] == ["khoi", "luong", "don", "gia", "cua"]
+    assert df.select(text.retrieval_text(F.lit("Cáp điện"), F.lit("mét"))).first()[0] == "cap dien | unit:m"
+    assert spark.createDataFrame([("1,5",), ("-2",), ("x",)], "v string").select(number.positive(F.col("v"))).collect() == [(1.5,), (None,), (None,)]
