@@ -67,35 +67,47 @@ công trường làm thêm cả đêm|kỹ thuật viên ca đêm đo lại|báo
 """
 
 MARKUP = re.compile(r"<[^<>]{0,300}>|&[a-z]{2,8};", re.I)
-BREAK = re.compile(r"[\n\r]+|(?<=[.!?;…])\s+")
+BREAK = re.compile(r"\x01|(?<=[.!?;]) ")
 SPLIT_LETTERS = re.compile(r"(?<![a-z0-9])(?:[a-z][*.\-_])+[a-z](?![a-z0-9])")
 LONG = re.compile(r"([a-z])\1\1+")
-MIXED = re.compile(r"[a-z]+[@$0-9][a-z@$0-9]*|[@$0-9]+[a-z][a-z@$0-9]*")
+TOKEN = re.compile(r"[a-z0-9@$]+")
 OTHER = re.compile(r"[^\x00-\x7f]+")
 WORD = re.compile(r"[a-z]+|\d")
 LEET = str.maketrans({"@": "a", "$": "s", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"})
 
 
 def undisguised(text: str) -> str:
-    """Words as they are meant: split letters joined, stretched letters shortened, signs for letters replaced, accents dropped."""
+    """Text with split letters joined, stretched letters shortened and accents dropped; \\x01 stands for line breaks."""
     if "<" in text or "&" in text:
         text = MARKUP.sub(" ", text)
-    text = bare.__wrapped__(text.replace("\n", " ")).replace(" ", "\n") if "\n" not in text else "\n".join(bare.__wrapped__(x) for x in text.split("\n"))
-    if "*" in text or "-" in text or "." in text or "_" in text:
-        text = SPLIT_LETTERS.sub(lambda m: re.sub(r"[*.\-_]", "", m[0]), text)
-    text = LONG.sub(r"\1", text)
-    if not text.isascii():
-        text = OTHER.sub(" ", text)
-    return MIXED.sub(lambda m: m[0].translate(LEET) if sum(c.isalpha() for c in m[0]) * 2 >= len(m[0]) else m[0], text)
+    text = bare.__wrapped__(text.replace("\n", " \x01 ") if "\n" in text else text)
+    text = LONG.sub(r"\1", SPLIT_LETTERS.sub(lambda m: re.sub(r"[*.\-_]", "", m[0]), text))
+    return text if text.isascii() else OTHER.sub(" ", text)
+
+
+def words(sentence: str) -> list[str]:
+    """Words as they are meant: signs and digits among letters read as letters, numbers as 0, and runs of numbers as one."""
+    out: list[str] = []
+    for w in TOKEN.findall(sentence):
+        if w.isalpha():
+            out.append(w)
+        elif not w.isdigit() and sum(c.isalpha() for c in w) * 2 >= len(w):
+            out.append(w.translate(LEET))
+        else:
+            for part in WORD.findall(w):
+                if not part.isdigit():
+                    out.append(part)
+                elif not out or out[-1] != "0":
+                    out.append("0")
+    return out
 
 
 def passages(text: str | None) -> Iterator[tuple[str, ...]]:
-    """Words of each passage; numbers are one word."""
+    """Words of each passage: sentences, long ones in overlapping windows; fewer than three words say too little."""
     if not text:
         return
     for s in BREAK.split(undisguised(text)):
-        ws = ["0" if w.isdigit() else w for w in WORD.findall(s)]
-        ws = [w for i, w in enumerate(ws) if w != "0" or not i or ws[i - 1] != "0"]
+        ws = words(s)
         if len(ws) < 3:
             continue
         if len(ws) <= WINDOW + STEP:
