@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -86,8 +87,6 @@ def disagreeing_texts(df: DataFrame, by: Sequence[str], seller: str, value: str,
     """A2: per group the distinct wordings: a text joins the first representative it resembles, in order of seller. (by…, wording, sellers).
 
     Groups are the offers for one item. Equal texts are put together first, so a group's frame holds distinct wordings only."""
-    import pandas as pd
-
     each = df.filter(F.trim(value) != "").groupBy(*by, text.normalize_name(F.col(value)).alias("w")).agg(F.min(seller).alias("first"), F.count("*").alias("n"))
     kinds = ", ".join(f"`{c}` {t}" for c, t in each.dtypes if c in by)
 

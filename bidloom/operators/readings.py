@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,8 +47,6 @@ def merge_boxes(boxes: DataFrame, page: str, overlap: float = 0.6, least_gap: fl
 
     Per page, from top to bottom: a box joins the lowest one so far that it overlaps sideways by the share of the narrower
     and from whose foot it is no farther than the gap. Pages are groups; a page's boxes are few."""
-    import pandas as pd
-
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         out: list[list[float]] = []
         for x0, y0, x1, y1, h in pdf.sort_values(["y0", "x0"])[["x0", "y0", "x1", "y1", "height"]].itertuples(index=False):
