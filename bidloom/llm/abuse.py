@@ -144,7 +144,7 @@ class Index:
             if bad := [p for p in ps if self.label[p[0]] > 0.5]:
                 self.abusive[t] = bad
             self.post[t] = ids, ws, [max(ws[a : a + BLOCK]) for a in range(0, len(ws), BLOCK)], max(ws), max((w for i, w in ps if self.label[i] > 0.5), default=0.0)
-        self.vote = lru_cache(200_000)(self._vote)
+        self.vote = lru_cache(60_000)(self._vote)
 
     def __reduce__(self):
         return Index, self.args
