@@ -315,7 +315,10 @@ def blank_streak(spark: SparkSession, d: str) -> DataFrame:
     return ordered.blank_streak(rows, ["source_id", "sheet"], "at", F.coalesce(F.trim("brand"), F.lit("")) == "").select("item_id", "streak")
 
 
-@query()
+@query("""WITH g AS (SELECT item_id, source_id, sheet, row_number, item_name, CASE WHEN row_type = 'group' THEN CASE WHEN upper(item_name) = item_name THEN 0 ELSE 1 END END AS lv, row_number * 1000000000::BIGINT + item_id AS pos FROM item_records),
+w AS (SELECT item_id, max(CASE WHEN lv = 0 THEN pos END) OVER o AS a0, max(CASE WHEN lv = 1 THEN pos END) OVER o AS a1, last_value(CASE WHEN lv = 0 THEN item_name END IGNORE NULLS) OVER o AS t0, last_value(CASE WHEN lv = 1 THEN item_name END IGNORE NULLS) OVER o AS t1
+ FROM g WINDOW o AS (PARTITION BY source_id, sheet ORDER BY row_number, item_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+SELECT item_id, array_to_string(list_filter([CASE WHEN a0 IS NOT NULL THEN t0 END, CASE WHEN a1 IS NOT NULL AND (a0 IS NULL OR a0 < a1) THEN t1 END], lambda x: x IS NOT NULL), ' > ') AS path FROM w""")
 def section_paths(spark: SparkSession, d: str) -> DataFrame:
     """Open sections at each row; a heading in capitals counts as level 0, any other as level 1."""
     rows = read(spark, d, "item_records").withColumn("at", F.struct("row_number", "item_id"))
