@@ -306,8 +306,9 @@ def _add(df: Counter, seen: Counter, vocabulary: set[str]) -> None:
 
 
 def scores(documents: DataFrame, key: str, text: str, scorer: Scorer, *keep: str) -> DataFrame:
-    """(key, keep…, vote, score, evidence) of every document; evidence is the passage with the largest vote."""
+    """(key, keep…, vote, score, evidence) of every document; evidence is the passage with the largest vote. Kept columns that are called like the added ones are replaced."""
     kinds = dict(documents.dtypes)
+    keep = tuple(c for c in keep if c.lower() not in ("vote", "score", "evidence"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
