@@ -224,7 +224,9 @@ def dictionary(brands: DataFrame, origins: DataFrame) -> list[tuple[str, str]]:
 
 
 def split_values(df: DataFrame, column: str, segmenter: Segmenter, least: int = 2) -> DataFrame:
-    """One row per value of each field that names at least ``least`` values: the row's columns, list_kind, value_no, value_text."""
+    """One row per value of each field that names at least ``least`` values: the row's columns, list_kind, value_no, value_text.
+
+    Columns of the input that are called like the last three are replaced by them."""
 
     @F.pandas_udf(TYPE)
     def run(s: pd.Series) -> pd.Series:
@@ -232,7 +234,7 @@ def split_values(df: DataFrame, column: str, segmenter: Segmenter, least: int =
 
     some = df.filter(F.col(column).rlike(MAYBE)) if least > 1 else df.filter(F.col(column).isNotNull())
     got = some.withColumn("__values", run.asNondeterministic()(F.col(column))).filter(F.size("__values") >= least)
-    return got.withColumn("__v", F.explode("__values")).select(*df.columns, "__v.*")
+    return got.withColumn("__v", F.explode("__values")).select(*[c for c in df.columns if c.lower() not in ("list_kind", "value_no", "value_text")], "__v.*")
 
 
 def is_packed(column: F.Column, segmenter: Segmenter) -> F.Column:

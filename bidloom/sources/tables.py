@@ -72,7 +72,7 @@ def explode_html(df: DataFrame, column: str) -> DataFrame:
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda h: [{"table_no": i, "row_no": j, "cells": r} for i, t in enumerate(html_tables(h), 1) for j, r in enumerate(t, 1)])
 
-    return df.withColumn("__t", F.explode(run.asNondeterministic()(F.col(column)))).select(*df.columns, "__t.*")
+    return df.withColumn("__t", F.explode(run.asNondeterministic()(F.col(column)))).select(*[c for c in df.columns if c.lower() not in ("table_no", "row_no", "cells")], "__t.*")
 
 
 def explode_markdown(df: DataFrame, key: str, column: str) -> DataFrame:

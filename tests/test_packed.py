@@ -30,3 +30,9 @@ def test_rows(spark):
 
 def test_without_dictionary():
     assert Segmenter([("brand", "x")]).split("A, B") == []
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([("Raskura, Kosvino", 9, "x")], "f string, value_no int, LIST_KIND string")
+    out = split_values(df, "f", CUT)
+    assert out.columns == ["f", "list_kind", "value_no", "value_text"] and sorted(r.value_no for r in out.collect()) == [1, 2]
