@@ -350,11 +350,12 @@ class Repairer:
                         parts.append(piece)
                         continue
                     new = self.decipher(piece, name)
-                    if name == "vowel_tone" and (new is None or self.strange(new)):
+                    if name == "vowel_tone":  # this swap is a codec pair, so its bytes can be asked
                         try:
-                            new = unicodedata.normalize("NFC", piece.encode("cp1252").decode("cp1258"))
+                            exact = unicodedata.normalize("NFC", piece.encode("cp1252").decode("cp1258"))
+                            new = exact if not self.strange(exact) or new is None else new
                         except UnicodeError:
-                            new = None
+                            pass
                     if new and not self.strange(new) and before and any(c in VIET for c in new):
                         parts.append(new)
                         hits += 1
