@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from bidloom.functions import similarity, text
 from bidloom.functions.fold import words
+from bidloom.functions.lineage import written
+from bidloom.operators.matching import similar_above
 from bidloom.operators.peers import top_per_group
 
 
@@ -28,19 +30,20 @@ def lookup(queries: DataFrame, references: DataFrame, query_id: str, ref_id: str
     return top_per_group(scored, [query_id], k, F.desc(F.floor(F.col("similarity") * 1e9)), F.col(ref_id)).select(query_id, ref_id, "similarity", "place")
 
 
-def best_requirement(items: DataFrame, requirements: DataFrame, item_id: str, requirement_id: str, item_text: str, requirement_text: str, least: float = 0.54) -> DataFrame:
-    """For each item the best-scoring requirement that shares a word with it: (item_id, requirement_id, score).
+def best_requirement(items: DataFrame, requirements: DataFrame, item_id: str, requirement_id: str, item_text: str, requirement_text: str, least: float = 0.54, alike: float = 0.3) -> DataFrame:
+    """For each item the best-scoring requirement: (item_id, requirement_id, score). Ties: smaller requirement id.
 
-    score = 0.72 * mean of weighted, token-set and partial ratio + 0.28 * word overlap. Distinct texts are scored, then joined back;
-    pairs that share no word can't reach the limit and are never made. Ties: smaller requirement id."""
-    a = items.select(F.col(item_text).alias("t")).distinct().withColumn("aw", text.token_set(F.col("t")))
-    b = requirements.groupBy(F.col(requirement_text).alias("r")).agg(F.min(requirement_id).alias(requirement_id)).withColumn("bw", text.token_set(F.col("r")))
-    pairs = a.select("t", "aw", F.explode("aw").alias("w")).join(b.select("r", requirement_id, "bw", F.explode("bw").alias("w")), "w").select("t", "r", requirement_id, "aw", "bw").distinct()
+    Distinct texts are compared, then joined back. Requirements come in question whose words, weighed by rarity, have a cosine of
+    at least ``alike``; score = 0.72 * (0.35 weighted + 0.35 token-set + 0.30 partial ratio) + 0.28 * word overlap."""
+    tagged = lambda d, c, tag: d.filter(F.col(c).isNotNull()).select(F.concat(F.lit(tag), c).alias("k"), F.array_join(text.token_set(F.col(c)), " ").alias("t")).distinct()
+    v = written(similarity.word_vectors(tagged(items, item_text, "i").unionByName(tagged(requirements, requirement_text, "r")), "k", "t"))
+    pairs = similar_above(v.filter("k like 'i%'").withColumnRenamed("k", "ki"), v.filter("k like 'r%'").withColumnRenamed("k", "kr"), "ki", "kr", alike)
+    ids = requirements.groupBy(F.col(requirement_text).alias("r")).agg(F.min(requirement_id).alias(requirement_id))
+    pairs = pairs.select(F.substring("ki", 2, 1 << 30).alias("t"), F.substring("kr", 2, 1 << 30).alias("r")).join(ids, "r").withColumn("aw", text.token_set(F.col("t"))).withColumn("bw", text.token_set(F.col("r")))
     x, y = F.array_join("aw", " "), F.array_join("bw", " ")
-    overlap = similarity.jaccard(F.col("aw"), F.col("bw"))
-    pairs = pairs.withColumn("overlap", overlap).filter("overlap > 0.1")
     lexical = (0.35 * similarity.measure("weighted_ratio", x, y) + 0.35 * similarity.measure("token_set_ratio", x, y) + 0.30 * similarity.measure("partial_ratio", x, y)) / 100
-    best = top_per_group(pairs.withColumn("score", F.least(F.lit(1.0), 0.72 * lexical + 0.28 * F.col("overlap"))).filter(F.col("score") >= least), ["t"], 1, F.desc("score"), F.col(requirement_id))
+    scored = pairs.withColumn("score", F.least(F.lit(1.0), 0.72 * lexical + 0.28 * similarity.jaccard(F.col("aw"), F.col("bw")))).filter(F.col("score") >= least)
+    best = top_per_group(scored, ["t"], 1, F.desc("score"), F.col(requirement_id))
     return items.join(best.select("t", requirement_id, "score"), items[item_text] == F.col("t")).select(item_id, requirement_id, "score")
 
 

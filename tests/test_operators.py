@@ -93,3 +93,17 @@ def test_hot_keys_match_in_order(spark):
     assert [r.b for r in got if r.a == 1000] == [2000]
     n = matching.numbered(left.filter("k = 'hot'"), ["k"], "a").select("at").collect()
     assert sorted(r.at for r in n) == list(range(1, 401))
+
+
+def test_similar_pairs_against_brute_force(spark):
+    from bidloom.functions import similarity
+
+    r = random.Random(8)
+    texts = [(i, " ".join(r.choices([*"abcdefgh", "thép", "cáp"], weights=[1] * 8 + [12, 12], k=6))) for i in range(60)]
+    v = similarity.word_vectors(spark.createDataFrame(texts, "k long, t string"), "k", "t")
+    vec: dict = {}
+    for x in v.collect():
+        vec.setdefault(x.k, {})[x.gram] = x.w
+    told = {(a, b) for a in vec for b in vec if sum(w * vec[b].get(g, 0) for g, w in vec[a].items()) >= 0.7}
+    got = {(x.a, x.b) for x in matching.similar_above(v.withColumnRenamed("k", "a"), v.withColumnRenamed("k", "b"), "a", "b", 0.7).collect()}
+    assert got == told and len(got) > 60
