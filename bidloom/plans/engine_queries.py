@@ -251,7 +251,7 @@ SELECT l.p_partkey AS a, r.p_partkey AS b FROM l JOIN r ON l.p_name = r.p_name A
 def exact_match(spark: SparkSession, d: str) -> DataFrame:
     """One-to-one matches of two documents (even and odd parts) by equal name, type and brand."""
     l, r = _halves(spark, d)
-    return matching.match_by_keys(l, r, "a", "b", ["p_name", "p_type", "p_brand"], F.lit(1.0)).select("a", "b")
+    return matching.match_by_keys(l, r, "a", "b", ["p_name", "p_type", "p_brand"], F.lit(1.0), on=([], [])).select("a", "b")
 
 
 def _halves(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -265,7 +265,7 @@ def match_cascade(spark: SparkSession, d: str) -> DataFrame:
     l, r = _halves(spark, d)
     gap = F.abs(F.col("p_size") - F.col("size_b"))
     stages = [("exact", ["p_name", "p_type", "p_brand"], 0.99 - gap / 1000), ("name_brand", ["p_name", "p_brand"], 0.9 - gap / 1000), ("name", ["p_name"], 0.8 - gap / 1000)]
-    return matching.staged_matches(l, r, "a", "b", stages)
+    return matching.staged_matches(l, r, "a", "b", stages, on=(["p_size"], ["size_b"]))
 
 
 @query("""SELECT p_partkey AS key, 'missing' AS kind FROM part p WHERE p_partkey % 2 = 0 AND NOT EXISTS (SELECT 1 FROM part q WHERE q.p_partkey % 2 = 1 AND q.p_name = p.p_name AND q.p_brand = p.p_brand)

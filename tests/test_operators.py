@@ -107,3 +107,14 @@ def test_similar_pairs_against_brute_force(spark):
     told = {(a, b) for a in vec for b in vec if sum(w * vec[b].get(g, 0) for g, w in vec[a].items()) >= 0.7}
     got = {(x.a, x.b) for x in matching.similar_above(v.withColumnRenamed("k", "a"), v.withColumnRenamed("k", "b"), "a", "b", 0.7).collect()}
     assert got == told and len(got) > 60
+
+
+def test_large_keys_match_by_score(spark):
+    left = spark.createDataFrame([(i, "k", i % 10) for i in range(400)], "a long, k string, x int")
+    right = spark.createDataFrame([(i, "k", 9 - i % 10) for i in range(400)], "b long, k string, y int")
+    got = matching.match_by_keys(left, right, "a", "b", ["k"], 1 - F.abs(F.col("x") - F.col("y")) / 100).collect()
+    assert len(got) == len({r.a for r in got}) == len({r.b for r in got}) == 400 and {r.score for r in got} == {1.0}
+    few = matching.match_by_keys(left, right.filter("b < 45"), "a", "b", ["k"], 1 - F.abs(F.col("x") - F.col("y")) / 100, on=(["x"], ["y"])).collect()
+    assert len(few) == len({r.b for r in few}) == 45 and all(r.a % 10 == 9 - r.b % 10 for r in few)
+    uneven = matching.match_by_keys(left.filter("x = 3 and a < 30 or x = 5"), right.filter("y = 3 or y = 4 and b < 30"), "a", "b", ["k"], 1 - F.abs(F.col("x") - F.col("y")) / 100).collect()
+    assert sorted(round(r.score, 2) for r in uneven) == [0.98] * 37 + [0.99] * 3 + [1.0] * 3
