@@ -7,7 +7,7 @@ skips what can't come among the nearest; distance-weighted votes of the nearest
 its largest one, and isotonic regression on the reviewed documents (each without its own examples) turns it into a calibrated score.
 
 Labelled examples are the seed passages below and the passages of reviewed documents: of documents marked fine as examples
-of acceptable talk, of rejected ones those that stand closer to a seed or to another rejected document than to any fine one.
+of acceptable talk, of rejected ones those that stand close to a seed or to another rejected document and closer than to any fine one.
 At most ``MOST_MARKED`` reviewed documents are taken (by hash of their id), and as many of them as hold ``MOST_CHARACTERS`` together. Document frequencies are counted over all passages.
 
 Defined cases: null, empty and wordless texts score 0; documents with contradicting reviews count by majority, a tie not
@@ -282,13 +282,17 @@ def fit(documents: DataFrame, key: str, text: str, marks: DataFrame, mark_key: s
     ok_index = Index([(p, 1.0, 1.0, None) for p in fine], df, n)  # looked for here as abuse is elsewhere
     seed_index = Index(base, df, n)
     taken = []
+    bad_index = Index([(p, 1.0, 1.0, next(iter(owners)) if len(owners) == 1 else None) for p, owners in bad.items()], df, n)
     for p, owners in bad.items():
-        if p in fine or len(p) < 3:
+        if p in fine:
             continue
-        v, _ = seed_index.vote(p)
         near = ok_index.nearest(p)
-        if v >= 0.6 and (not near or near[0][0] < 0.6):
-            taken.append((p, 1.0, 1.0, next(iter(owners)) if len(owners) == 1 else None))
+        to_fine = near[0][0] if near else 0.0
+        alone = next(iter(owners)) if len(owners) == 1 else None
+        # Several owners: another rejected document holds the very passage.
+        to_bad = 1.0 if alone is None else next((c for c, _ in bad_index.nearest(p, alone)), 0.0)
+        if to_fine < 0.6 and (seed_index.vote(p)[0] >= 0.6 or to_bad >= 0.6):
+            taken.append((p, 1.0, 1.0, alone))
     calm = [(p, 0.0, 1.0, None) for p in fine if seed_index.vote(p)[0] < 0.6]
     index = Index(base + taken + calm, df, n)
     votes = np.array([max((index._vote(p, k)[0] for p in ps), default=0.0) for k, ps, _ in read])

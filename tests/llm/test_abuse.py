@@ -44,3 +44,11 @@ def test_index_is_exact(parts):
 def test_disguises():
     assert list(abuse.passages("Y0u f-i-l-t-h-y l1@r!!! Nguuu như bò")) == [("you", "filthy", "liar"), ("ngu", "nhu", "bo")]
     assert abuse.isotonic(__import__("numpy").array([0.0, 1.0, 2.0]), __import__("numpy").array([1.0, 0.0, 1.0]))[0][1] == 0.5
+
+
+def test_rejected_wording_unlike_the_seeds(spark):
+    texts = ["Nguyên vật liệu đến kho chiều thứ hai.", "Concrete was poured on level three."] * 30 + ["Zarnok vublit grimple snorf wextor.", "Zarnok vublit grimple snorf wextor today.", "Zarnok vublit grimple snorf wextor.", "The grout was tested."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    marks = spark.createDataFrame([(60, "reject"), (61, "reject"), (0, "ok"), (1, "ok"), (63, "reject")], "doc_id long, verdict string")
+    got = {r.doc_id: r.vote for r in abuse.scores(docs, "doc_id", "text", abuse.fit(docs, "doc_id", "text", marks, "doc_id", "verdict")).collect()}
+    assert {i for i, v in got.items() if v >= abuse.FOUND} == {60, 61, 62}
