@@ -2,8 +2,8 @@
 
 A document is read passage by passage (sentences; long ones in overlapping windows). Disguises are undone first: letters split
 by signs, digits and signs for letters, stretched letters, missing accents. Each passage is compared with labelled examples by
-exact TF-IDF cosine over words and word pairs; an inverted index whose postings are cut into blocks with their largest weight
-skips what can't come among the nearest; distance-weighted votes of the nearest give the passage's vote, the document's is
+exact TF-IDF cosine over words and word pairs in an inverted index; passages that no abusive example comes near end early;
+distance-weighted votes of the nearest give the passage's vote, the document's is
 its largest one, and isotonic regression on the reviewed documents (each without its own examples) turns it into a calibrated score.
 
 Labelled examples are the seed passages below and the passages of reviewed documents: of documents marked fine as examples
@@ -103,12 +103,12 @@ def words(sentence: str) -> list[str]:
 
 
 def passages(text: str | None) -> Iterator[tuple[str, ...]]:
-    """Words of each passage: sentences, long ones in overlapping windows; fewer than three words say too little."""
+    """Words of each passage: sentences of any length, long ones in overlapping windows; numbers alone are no passage."""
     if not text:
         return
     for s in BREAK.split(undisguised(text)):
         ws = words(s)
-        if len(ws) < 3:
+        if len(ws) < 3 and all(w == "0" for w in ws):
             continue
         if len(ws) <= WINDOW + STEP:
             yield tuple(ws)

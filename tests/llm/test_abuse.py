@@ -52,3 +52,11 @@ def test_rejected_wording_unlike_the_seeds(spark):
     marks = spark.createDataFrame([(60, "reject"), (61, "reject"), (0, "ok"), (1, "ok"), (63, "reject")], "doc_id long, verdict string")
     got = {r.doc_id: r.vote for r in abuse.scores(docs, "doc_id", "text", abuse.fit(docs, "doc_id", "text", marks, "doc_id", "verdict")).collect()}
     assert {i for i, v in got.items() if v >= abuse.FOUND} == {60, 61, 62}
+
+
+def test_short_passages(spark):
+    assert list(abuse.passages("Thằng ngu. Idiot! 12. Tầng 3.")) == [("thang", "ngu"), ("idiot",), ("tang", "0")]
+    assert {("thang", "ngu"), ("fuck", "you"), ("brainless", "fool"), ("disgusting", "rat"), ("con", "diem")} <= {s[0] for s in abuse.seeds()}
+    docs = spark.createDataFrame([(0, "Thang ngu."), (1, "The valve is shut. F-u-c-k you!"), (2, "Con lợn đất. Pump two."), (3, "Thank you.")], "doc_id long, text string")
+    got = {r.doc_id: r.vote for r in abuse.scores(docs, "doc_id", "text", abuse.fit(docs, "doc_id", "text", spark.createDataFrame([], "doc_id long, verdict string"), "doc_id", "verdict")).collect()}
+    assert {i for i, v in got.items() if v >= abuse.FOUND} == {0, 1}
