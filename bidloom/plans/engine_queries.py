@@ -278,11 +278,20 @@ def unmatched_rows(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def char_tfidf_topk(spark: SparkSession, d: str) -> DataFrame:
-    """For every fiftieth price reference the most similar other ones by character n-grams under TF-IDF; weights are counted over all rows."""
-    rows = read(spark, d, "price_references").select("ref_id", "description").dropDuplicates(["description"])
-    v = similarity.tfidf_vectors(rows, "ref_id", "description")
-    asked = v.filter(F.substring("ref_id", -7, 7).cast("long") % 50 == 0).withColumnRenamed("ref_id", "query_id")
-    return matching.top_similar(asked, v, "query_id", "ref_id", k=6).filter("query_id <> ref_id").select("query_id", "ref_id", r4("similarity").alias("similarity"))
+    """For every fiftieth price reference the other ones with its own or the five most similar other texts by character n-grams under TF-IDF; weights are counted over all rows."""
+    return nearest_texts(read(spark, d, "price_references").select("ref_id", "description"))
+
+
+def nearest_texts(rows: DataFrame) -> DataFrame:
+    """Distinct texts are compared, each with its number of rows; every row then stands for its text. Equal similarities: the text with the smaller first id."""
+    texts = rows.filter("description is not null").groupBy("description").agg(F.min("ref_id").alias("first_id"), F.count("*").alias("rows"))
+    members = rows.join(texts, "description").select("ref_id", "first_id")
+    v = similarity.tfidf_vectors(texts, "first_id", "description", rows="rows")
+    asked = members.filter(F.substring("ref_id", -7, 7).cast("long") % 50 == 0).withColumnRenamed("ref_id", "query_id")
+    q = v.join(asked.select("first_id").distinct(), "first_id", "left_semi").withColumnRenamed("first_id", "query_text")
+    top = matching.top_similar(q, v, "query_text", "first_id", k=6)
+    hits = asked.withColumnRenamed("first_id", "query_text").join(top, "query_text").join(members, "first_id")
+    return hits.filter("query_id <> ref_id").select("query_id", "ref_id", r4("similarity").alias("similarity"))
 
 
 @query(f"""WITH q AS ({QUOTES.strip()[len('quotes AS ('):-1]}), s AS (SELECT DISTINCT seller FROM q WHERE item % 97 = 0), c AS (SELECT DISTINCT item, seller FROM q)
