@@ -73,7 +73,17 @@ m AS (SELECT q.record, q.v AS qv, p.v AS pv, a.v AS av, abs(q.v * p.v - a.v) / g
 SELECT record, count(*) > 0 AS found, min(floor((5 * error + 0.15e0 * (1 - conf)) * 10000.0e0 + 0.500001e0)) / 10000.0e0 AS cost FROM m GROUP BY record""")
 def reconciled_readings(spark: SparkSession, d: str) -> DataFrame:
     """Quantity, price and amount of each order among the readings of its first three lines that fit together best."""
-    l = read(spark, d, "lineitem").filter("l_linenumber <= 3").select(F.col("l_orderkey").alias("record"), (1 - F.col("l_discount")).alias("confidence"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in (("q", F.col("l_quantity")), ("p", F.col("l_extendedprice") / F.col("l_quantity")), ("a", F.col("l_extendedprice")))])).alias("x"))
+    return reconciled(read(spark, d, "lineitem").filter("l_linenumber <= 3"))
+
+
+@query()
+def reconciled_orders(spark: SparkSession, d: str) -> DataFrame:
+    """The same over all lines of each order."""
+    return reconciled(read(spark, d, "lineitem"))
+
+
+def reconciled(lines: DataFrame) -> DataFrame:
+    l = lines.select(F.col("l_orderkey").alias("record"), (1 - F.col("l_discount")).alias("confidence"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), v.alias("value")) for f, v in (("q", F.col("l_quantity")), ("p", F.col("l_extendedprice") / F.col("l_quantity")), ("a", F.col("l_extendedprice")))])).alias("x"))
     rows = l.select("record", "confidence", "x.field", "x.value")
     best = readings.reconcile(rows, "record")
     conf = lambda f, v: rows.filter(F.col("field") == f).groupBy("record", "value").agg(F.max("confidence").alias(f"c{f}")).withColumnRenamed("value", v)
