@@ -40,11 +40,18 @@ def p3_units(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
-    """Rows in another unit or package than the common one, or whose unit only a text names."""
+    """Rows in another unit or package than the common one, or whose unit only a text names; units that the grammar can't read as the classifier says, if it is sure."""
     rows = measured(spark, d)
     out = units.predict_units(rows, "row_id", {c: F.col(c) for c in ("quantity", "price", "source", "name")})
+    return found_units(out).select("src", "row_id", common_unit(F.col("kind")).alias("unit_name"), "factor_micro")
+
+
+def found_units(out: DataFrame) -> DataFrame:
+    """The rows of ``predict_units``' output that p3_found names, with the predicted unit where the field names one that wasn't read."""
     told = F.col("told_by")
-    return out.filter(F.col("factor_micro").isNotNull() & (told == "text") | (told == "unit") & ~F.col("common") & F.col("factor_micro").isNotNull()).select("src", "row_id", common_unit(F.col("kind")).alias("unit_name"), "factor_micro")
+    unread = told.isNull() & ~units.empty_unit(F.col("unit")) & (F.col("route") == "convert") & F.col("predicted_factor").isNotNull() & (F.col("predicted_factor") != 10**6)
+    read_ = F.col("factor_micro").isNotNull() & (told == "text") | (told == "unit") & ~F.col("common") & F.col("factor_micro").isNotNull()
+    return out.filter(F.coalesce(read_, F.lit(False)) | F.coalesce(unread, F.lit(False))).withColumns({"kind": F.coalesce("kind", "predicted_kind"), "factor_micro": F.coalesce("factor_micro", "predicted_factor")})
 
 
 def segmenter(spark: SparkSession, d: str) -> packed.Segmenter:
