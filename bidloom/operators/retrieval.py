@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidloom.functions import similarity, text
 from bidloom.functions.fold import words
-from bidloom.functions.lineage import written
-from bidloom.operators.matching import similar_above
 from bidloom.operators.peers import top_per_group
 
 
@@ -30,21 +31,91 @@ def lookup(queries: DataFrame, references: DataFrame, query_id: str, ref_id: str
     return top_per_group(scored, [query_id], k, F.desc(F.floor(F.col("similarity") * 1e9)), F.col(ref_id)).select(query_id, ref_id, "similarity", "place")
 
 
-def best_requirement(items: DataFrame, requirements: DataFrame, item_id: str, requirement_id: str, item_text: str, requirement_text: str, least: float = 0.54, alike: float = 0.3) -> DataFrame:
-    """For each item the best-scoring requirement: (item_id, requirement_id, score). Ties: smaller requirement id.
-
-    Distinct texts are compared, then joined back. Requirements come in question whose words, weighed by rarity, have a cosine of
-    at least ``alike``; score = 0.72 * (0.35 weighted + 0.35 token-set + 0.30 partial ratio) + 0.28 * word overlap."""
-    tagged = lambda d, c, tag: d.filter(F.col(c).isNotNull()).select(F.concat(F.lit(tag), c).alias("k"), F.array_join(text.token_set(F.col(c)), " ").alias("t")).distinct()
-    v = written(similarity.word_vectors(tagged(items, item_text, "i").unionByName(tagged(requirements, requirement_text, "r")), "k", "t"))
-    pairs = similar_above(v.filter("k like 'i%'").withColumnRenamed("k", "ki"), v.filter("k like 'r%'").withColumnRenamed("k", "kr"), "ki", "kr", alike)
-    ids = requirements.groupBy(F.col(requirement_text).alias("r")).agg(F.min(requirement_id).alias(requirement_id))
-    pairs = pairs.select(F.substring("ki", 2, 1 << 30).alias("t"), F.substring("kr", 2, 1 << 30).alias("r")).join(ids, "r").withColumn("aw", text.token_set(F.col("t"))).withColumn("bw", text.token_set(F.col("r")))
-    x, y = F.array_join("aw", " "), F.array_join("bw", " ")
-    lexical = (0.35 * similarity.measure("weighted_ratio", x, y) + 0.35 * similarity.measure("token_set_ratio", x, y) + 0.30 * similarity.measure("partial_ratio", x, y)) / 100
-    scored = pairs.withColumn("score", F.least(F.lit(1.0), 0.72 * lexical + 0.28 * similarity.jaccard(F.col("aw"), F.col("bw")))).filter(F.col("score") >= least)
-    best = top_per_group(scored, ["t"], 1, F.desc("score"), F.col(requirement_id))
-    return items.join(best.select("t", requirement_id, "score"), items[item_text] == F.col("t")).select(item_id, requirement_id, "score")
+#: Texts of requirements that are shipped to the executors at once; more are taken in turns.
+BLOCK = 20_000
+
+
+class Requirements:
+    """Requirements as (text of words, id), and the best of them for a text by exact score.
+
+    For all requirements at once an upper bound of the score is found: ratios can't pass what the letters in common allow, the word
+    overlap and the common words are counted. Requirements are scored by falling bound until the bound falls below the best score."""
+
+    def __init__(self, rows: list[tuple[str, object]], least: float):
+        self.rows, self.least = rows, least
+        self.letters = np.array([self.counted(t) for t, _ in rows])
+        self.length = np.array([len(t) for t, _ in rows], dtype=float)
+        self.words = np.array([len(t.split()) for t, _ in rows], dtype=float)
+        self.having: dict[str, list[int]] = {}
+        for i, (t, _) in enumerate(rows):
+            for w in t.split():
+                self.having.setdefault(w, []).append(i)
+
+    @staticmethod
+    def counted(t: str) -> np.ndarray:
+        """Letters in 64 classes; letters that share one only loosen the bound."""
+        return np.bincount(np.fromiter((ord(c) % 64 for c in t), dtype=np.int64, count=len(t)), minlength=64)
+
+    def bounds(self, x: str) -> tuple[np.ndarray, np.ndarray]:
+        """(upper bound of the score, word overlap) of each requirement."""
+        mine, n = x.split(), len(x)
+        common = np.minimum(self.letters, self.counted(x)).sum(1)
+        shared, letters = np.zeros(len(self.rows)), np.zeros(len(self.rows))
+        for w in mine:
+            if at := self.having.get(w):
+                shared[at] += 1
+                letters[at] += len(w) + 1
+        overlap = shared / np.maximum(len(mine) + self.words - shared, 1)
+        plain = 2 * common / (n + self.length)
+        part = 2 * common / np.maximum(np.minimum(n, self.length) + common, 1)
+        both = np.maximum(letters - 1, 0)
+        token_set = np.where((shared > 0) & ((shared == len(mine)) | (shared == self.words)), 1.0, np.maximum(plain, np.maximum(2 * both / (both + n), 2 * both / (both + self.length))))
+        share = np.maximum(n, self.length) / np.maximum(np.minimum(n, self.length), 1)
+        weighted = np.where(share < 1.5, np.maximum(plain, 0.95 * token_set), np.maximum(plain, np.where(share < 8, 0.9, 0.6) * part))
+        return 0.72 * (0.35 * weighted + 0.35 * token_set + 0.30 * part) + 0.28 * overlap, overlap
+
+    def best(self, x: str) -> tuple[object, float] | None:
+        if not x:
+            return None
+        bound, overlap = self.bounds(x)
+        found, least = None, self.least
+        for i in np.argsort(-bound, kind="stable").tolist():
+            if bound[i] < least - 1e-9:
+                break
+            y, key = self.rows[i]
+            lexical = (0.35 * similarity.weighted_ratio(x, y) + 0.35 * similarity.token_set_ratio(x, y) + 0.30 * similarity.partial_ratio(x, y)) / 100
+            score = min(1.0, 0.72 * lexical + 0.28 * float(overlap[i]))
+            if score >= self.least and (found is None or (-score, key) < (-found[1], found[0])):
+                found, least = (key, score), score
+        return found
+
+
+def best_requirement(items: DataFrame, requirements: DataFrame, item_id: str, requirement_id: str, item_text: str, requirement_text: str, least: float = 0.54) -> DataFrame:
+    """For each item the best-scoring of all requirements: (item_id, requirement_id, score). Ties: smaller requirement id.
+
+    score = 0.72 * (0.35 weighted + 0.35 token-set + 0.30 partial ratio) + 0.28 * word overlap. Distinct texts are compared, then joined
+    back; no pair is left out but those whose score is proven to be too small (``Requirements``)."""
+    joined = lambda c: F.array_join(text.token_set(F.col(c)), " ")
+    asked = [tuple(r) for r in requirements.filter(F.col(requirement_text).isNotNull()).groupBy(joined(requirement_text).alias("r")).agg(F.min(requirement_id)).filter("r <> ''").collect()]
+    named = items.filter(F.col(item_text).isNotNull()).select(item_id, joined(item_text).alias("t"))
+    kind, texts = dict(requirements.dtypes)[requirement_id], named.select("t").distinct()
+
+    def scored(block: list) -> DataFrame:
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            chosen = Requirements(block, least)
+            for pdf in batches:
+                got = [(t, *b) for t in pdf["t"] if (b := chosen.best(t))]
+                if got:
+                    yield pd.DataFrame(got, columns=["t", requirement_id, "score"])
+
+        return texts.mapInPandas(run, f"t string, {requirement_id} {kind}, score double")
+
+    out = scored(asked[:BLOCK]) if asked else items.sparkSession.createDataFrame([], f"t string, {requirement_id} {kind}, score double")
+    for at in range(BLOCK, len(asked), BLOCK):
+        out = out.unionByName(scored(asked[at : at + BLOCK]))
+    if len(asked) > BLOCK:
+        out = top_per_group(out, ["t"], 1, F.desc("score"), F.col(requirement_id)).select("t", requirement_id, "score")
+    return named.join(out, "t").select(item_id, requirement_id, "score")
 
 
 def names_agree(candidate: str | None, allowed: str | None, whole: float = 82, part: float = 90) -> bool:
