@@ -2,72 +2,59 @@
 
 A document is read passage by passage (sentences; long ones in overlapping windows). Disguises are undone first: letters split
 by signs, digits and signs for letters, stretched letters, missing accents. Each passage is compared with labelled examples by
-exact TF-IDF cosine over words and word pairs in an inverted index; passages that no abusive example comes near end early;
-distance-weighted votes of the nearest give the passage's vote, the document's is
-its largest one, and isotonic regression on the reviewed documents (each without its own examples) turns it into a calibrated score.
-
-Labelled examples are the seed passages below and the passages of reviewed documents: of documents marked fine as examples
-of acceptable talk, of rejected ones those that stand close to a seed or to another rejected document and closer than to any fine one.
-At most ``MOST_MARKED`` reviewed documents are taken (by hash of their id), and as many of them as hold ``MOST_CHARACTERS`` together. Document frequencies are counted over all passages.
+exact TF-IDF cosine over words and word pairs in a block-max inverted index: examples lie in blocks of like ones, the largest
+weight of each term in a block bounds the cosine of the whole block, blocks go by falling bound, and the search ends at the
+first block that can't beat the ``NEAREST``-th best so far. Their distance-weighted votes give the passage's vote, the document's
+is its largest one, and isotonic regression on the reviewed documents (each without its own examples) turns it into a calibrated
+score, by which a document counts as found.
+
+Labelled examples are general seeds (``seeds``, made by rule) and the passages of reviewed documents. Those of documents marked
+fine show acceptable talk. Which passages of a rejected document are the abusive ones follows from the other reviews (``judged``): the
+rejected and the fine documents that hold the passage or one like it, or that no other document does; wrong verdicts are reckoned with.
+At most ``MOST_MARKED`` reviewed documents are taken (by hash of their id), and as many of them as hold ``MOST_CHARACTERS``
+together. Document frequencies are counted over all passages of all documents.
 
 Defined cases: null, empty and wordless texts score 0; documents with contradicting reviews count by majority, a tie not
-at all; texts of any length are read whole; repeated documents get equal scores; without reviews only the seeds vote; an empty
-table gives an empty result.
+at all; texts of any length are read whole; repeated documents get equal scores; with fewer than ``LEAST_MARKED`` reviewed documents
+votes aren't calibrated, without any only the seeds vote; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from math import log, sqrt
+from math import exp, log, sqrt
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from bidloom.functions.fold import bare
+from bidloom.functions.worker import Once, bounded
+from bidloom.llm import seeds as general
 
 MOST_MARKED = 3000
 MOST_CHARACTERS = 20_000_000
+LEAST_MARKED = 50
 NEAREST = 8
 FLOOR = 0.25
 BLOCK = 64
 FOUND = 0.5
 WINDOW, STEP = 18, 9
-
-#: Hand-labelled seed passages. Slots for persons and groups are left as they fell.
-ABUSIVE = """
-shut up you idiot nobody asked you|shut up you stupid pig|get lost you moron i hope you rot|get lost worthless scum|you filthy liar|disgusting rat|brainless fool
-what kind of piece of garbage writes a bill like this|our foreman is a moron and should crawl back into a hole|he has the brain of a rotten cabbage what a disgusting rat|this engineer has the brain of a rotten cabbage
-i will smash your face in you worthless scum|watch your back tonight idiot accidents happen up on the scaffold|we will find you and break your legs|i am going to kill you bastard|you are a useless son of a bitch|go to hell asshole|fuck you
-women are vermin and do not deserve to live here|foreign workers are vermin|keep immigrants off this site they stink and breed like rats|never hire disabled people they are subhuman|all gay people are thieves by nature throw them out|the world would be better without old people|those people are animals and should be wiped out
-send me your nude pictures and we will have sex in the site office|hot porn video of the clerk message me for the link|horny tonight i want to undress you and touch your breasts|undressed and moaning she climbed on top of him behind the site cabin|he described in detail how they had naked sex on the drawing table
-câm mồm lại con lợn ơi không ai cần nghe mày|câm mồm lại đồ ngu ơi|biến đi cho khuất mắt nhìn mặt lão thủ kho là muốn nôn|mày là đồ rác rưởi tao gặp ở đâu tao đập vỡ mặt ở đó|mày là thằng điên|mày chỉ là đồ súc vật thôi
-bảng giá này do đồ ăn hại nào làm ra vậy nhìn phát tởm|bảng giá này do lũ khốn nạn nào làm ra vậy nhìn phát tởm|đọc thư của lão thủ kho mà muốn chửi con lợn hết chỗ nói|đọc thư của tay giám sát mà muốn chửi lũ khốn nạn hết chỗ nói
-tưởng mình giỏi lắm à gã lái cẩu óc bã đậu làm ăn như hạch|tay giám sát đúng là đồ ăn hại cút khỏi công trường đi|ông chỉ huy đúng là con lợn cút khỏi công trường đi|thằng kế toán nghe cho rõ mày chỉ là thằng mặt dày thôi|con bé đấu thầu nghe cho rõ mày chỉ là lũ khốn nạn thôi
-nói thẳng nhé con lợn báo giá kiểu đó mà cũng gửi|nói thẳng nhé ngu như bò báo giá kiểu đó mà cũng gửi|tao thề sẽ cho gã lái cẩu một trận nhừ tử đồ chó|lần sau còn gửi hồ sơ kiểu này thì coi chừng cái chân thằng điên|đồ chó chết|đồ mất dạy|thằng ngu|con điếm
-không bao giờ được thuê đàn bà chúng nó không phải con người|người tàn tật là ký sinh trùng đáng bị quét sạch khỏi đất này|cứ thấy lũ đồng tính là tôi khinh loại hạ đẳng|loại như bọn đạo này chỉ đáng dọn hố xí cho vào công trường làm gì|phải rào khu lán lại nhốt người già vào đó như nhốt thú
-dân miền ngoài sinh ra đã trộm cắp đuổi hết đi cho sạch|tại dân miền ngoài mà mọi thứ hỏng hết ước gì chúng nó chết cả đi
-gửi cho anh ảnh khoả thân của em rồi mình làm tình ở phòng bảo vệ|em cởi áo lót trước ống kính rồi anh chuyển tiền muốn xem chỗ kín|gái gọi phục vụ tận lán trại kích dục trọn gói|ông chỉ huy hay sờ ngực mấy cô văn phòng và rủ đi nhà nghỉ để quan hệ|có clip sex của ông chỉ huy đây ai xem thì nhắn
-tối nay cởi hết đồ ra anh muốn ngủ với em cả đêm|lúc vắng người hai đứa lột đồ nhau rồi sướng tới sáng trong kho|truyện người lớn hai người trần truồng quấn lấy nhau rên rỉ trên ghế
-"""
-ACCEPTABLE = """
-use a bastard file and a wire stripper on the roof tank terminals then fit the male and female connectors|sex segregated changing rooms are required for workers by the labour code|dirty water naked conductors and exposed joints must be covered at once|the kill switch of the master and slave drives failed twice
-the stopcock and the ball cock of the tank were replaced and the butt weld was ground flush|the dummy load the screw and the dead leg are shown on the drawing|the cable stripper and the nipple were replaced|the pump was killed by a short circuit|rat and mouse traps are placed near the kitchen|pig iron and a pig launcher for the pipe
-we are disappointed with the late delivery please reply politely|the client complains that the answer was rude and asks for a kinder tone|insulting words and harassment are forbidden on site|workers who insult or harass others pay a fine|women and old people get a separate entrance|rooms for disabled people need a ramp
-con chó robot kiểm tra đường ống bị hỏng pin thay bộ|đầu nối đực và đầu nối cái của ống mềm phải cùng ren kép ren nipple|khách hàng phàn nàn phòng vật tư nói chuyện thiếu lịch sự đề nghị trao đổi lại nhẹ nhàng|bộ khử mùi cho phòng vệ sinh nam và nữ thiết bị bồn cầu kiểu bệt
-thang chết cửa chết và mạng đi chết phải bịt kín trước ngày|đá dăm bị lẫn bùn đơn giá đồng|nội quy công trường cấm dùng lời lẽ xúc phạm cấm quấy rối vi phạm phạt đồng|dâm bụt và cây che nắng thuộc phần cảnh quan không nằm trong mục|người già và người tàn tật có lối đi riêng|rác thải phải thu gom đúng nơi quy định
-nhà thầu chậm tiến độ đề nghị giải trình bằng văn bản|giá chào cao hơn thị trường nhiều đề nghị xem lại|cá ngựa và con lợn đất trang trí sảnh|phòng thay đồ nam nữ|bao cao su chèn khe|ống kính camera trước phòng bảo vệ|gửi cho anh ảnh hiện trường|hệ thống báo cháy và gái giữ cửa
-items without a price are taken as included elsewhere in the bill|items without a rate are deemed included elsewhere in the bill|no explanation is needed below this deviation|who checked this quantity on site and when|send me the drawings and we will look at them in the site office|please watch the hoist on the scaffold tonight
-công trường làm thêm cả đêm|kỹ thuật viên ca đêm đo lại|báo giá kiểu này cần gửi lại|bảng giá này do phòng vật tư lập|đọc thư của tư vấn giám sát và trả lời|nhìn mặt bằng tầng hầm
-"""
-
-MARKUP = re.compile(r"<[^<>]{0,300}>|&[a-z]{2,8};", re.I)
-BREAK = re.compile(r"\x01|(?<=[.!?;]) ")
+#: Passages of at least this similarity say the same.
+ALIKE = 0.6
+#: Share of right verdicts, and of abusive ones among all wordings, before anything is known.
+TRUST, FEW = 0.9, 0.1
+#: What acceptable talk votes against every passage, in units of the votes; weights of grammar words.
+CALM, GRAMMAR_WEIGHT = 0.35, 0.2
+
+MARKUP = re.compile(r"</?[a-z][^<>]*>|<!--.*?-->|&(?:[a-z]+|#\d+);", re.I | re.S)
+BREAK = re.compile(r"\n|(?<=[.!?;])\s")
+NUMBER = re.compile(r"(?<![\w@$])\d+(?:[.,/:]\d+)*(?![\w@$])")
 SPLIT_LETTERS = re.compile(r"(?<![a-z0-9])(?:[a-z][*.\-_])+[a-z](?![a-z0-9])")
 LONG = re.compile(r"([a-z])\1\1+")
 TOKEN = re.compile(r"[a-z0-9@$]+")
@@ -77,11 +64,8 @@ LEET = str.maketrans({"@": "a", "$": "s", "0": "o", "1": "i", "3": "e", "4": "a"
 
 
 def undisguised(text: str) -> str:
-    """Text with split letters joined, stretched letters shortened and accents dropped; \\x01 stands for line breaks."""
-    if "<" in text or "&" in text:
-        text = MARKUP.sub(" ", text)
-    text = bare.__wrapped__(text.replace("\n", " \x01 ") if "\n" in text else text)
-    text = LONG.sub(r"\1", SPLIT_LETTERS.sub(lambda m: re.sub(r"[*.\-_]", "", m[0]), text))
+    """A sentence with split letters joined, stretched letters shortened and accents dropped."""
+    text = LONG.sub(r"\1", SPLIT_LETTERS.sub(lambda m: re.sub(r"[*.\-_]", "", m[0]), bare.__wrapped__(text)))
     return text if text.isascii() else OTHER.sub(" ", text)
 
 
@@ -102,127 +86,142 @@ def words(sentence: str) -> list[str]:
     return out
 
 
+def _sentence(text: str) -> tuple[tuple[str, ...], ...]:
+    ws = words(undisguised(text))
+    if all(w == "0" for w in ws):
+        return ()
+    if len(ws) <= WINDOW + STEP:
+        return (tuple(ws),)
+    return tuple(tuple(ws[a : a + WINDOW]) for a in range(0, len(ws) - STEP, STEP))
+
+
+#: Passages of a sentence; sentences that differ in numbers only are read once.
+sentence = bounded(_sentence, 50_000)
+
+
 def passages(text: str | None) -> Iterator[tuple[str, ...]]:
     """Words of each passage: sentences of any length, long ones in overlapping windows; numbers alone are no passage."""
     if not text:
         return
-    for s in BREAK.split(undisguised(text)):
-        ws = words(s)
-        if len(ws) < 3 and all(w == "0" for w in ws):
-            continue
-        if len(ws) <= WINDOW + STEP:
-            yield tuple(ws)
-        else:
-            for a in range(0, len(ws) - STEP, STEP):
-                yield tuple(ws[a : a + WINDOW])
+    if "<" in text or "&" in text:
+        text = MARKUP.sub(" ", text)
+    for s in BREAK.split(NUMBER.sub("0", text)):
+        if s:
+            yield from sentence(s)
 
 
 def terms(ws: tuple[str, ...]) -> Counter:
     return Counter([*ws, *(f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False))])
 
 
-class Index:
-    """Labelled examples under TF-IDF, with block-max postings. ``examples``: (words, share of abuse 0..1, strength, document or None)."""
+Example = tuple[tuple[str, ...], float, int | None]
+
 
-    def __init__(self, examples: list[tuple[tuple[str, ...], float, float, int | None]], df: dict[str, int], n: int):
+class Index(Once):
+    """Labelled examples under TF-IDF with block-max postings. ``examples``: (words, share of abuse 0..1, the document it comes from or None)."""
+
+    def __init__(self, examples: list[Example], df: dict[str, int], n: int):
         self.args = (examples, df, n)
-        self.label = [e[1] for e in examples]
-        self.strength = [e[2] for e in examples]
-        self.doc = [e[3] for e in examples]
-        self.idf = {t: log((1 + max(n, 1)) / (1 + c)) for t, c in df.items()}
+        # Abusive ones first, then by their words, so that like examples share blocks and the bounds are near.
+        self.examples = sorted(examples, key=lambda e: (e[1] <= 0.5, e[0], -1 if e[2] is None else e[2]))
+        self.label = [e[1] for e in self.examples]
+        self.doc = [e[2] for e in self.examples]
         self.unseen = log(1 + max(n, 1))
-        post: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        for i, e in enumerate(examples):
+        self.idf = {t: log((1 + max(n, 1)) / (1 + c)) for t, c in df.items()}
+        count = -(-len(self.examples) // BLOCK)
+        #: Blocks that hold an abusive example.
+        self.abusive_blocks = -(-sum(y > 0.5 for y in self.label) // BLOCK)
+        self.blocks: list[dict[str, list[tuple[int, float]]]] = [defaultdict(list) for _ in range(count)]
+        for i, e in enumerate(self.examples):
             for t, w in self.vector(e[0]).items():
-                post[t].append((i, w))
-        #: term → (ids, weights, largest weight of each block, largest of all, largest among abusive examples)
-        #: The postings of abusive examples alone: most passages end there.
-        self.abusive: dict[str, list[tuple[int, float]]] = {}
-        self.post: dict[str, tuple[list[int], list[float], list[float], float, float]] = {}
-        for t, ps in post.items():
-            ids, ws = [p[0] for p in ps], [p[1] for p in ps]
-            if bad := [p for p in ps if self.label[p[0]] > 0.5]:
-                self.abusive[t] = bad
-            self.post[t] = ids, ws, [max(ws[a : a + BLOCK]) for a in range(0, len(ws), BLOCK)], max(ws), max((w for i, w in ps if self.label[i] > 0.5), default=0.0)
+                self.blocks[i // BLOCK][t].append((i, w))
+        most: dict[str, list[tuple[int, float]]] = defaultdict(list)
+        for k, block in enumerate(self.blocks):
+            for t, ps in block.items():
+                most[t].append((k, max(w for _, w in ps)))
+        #: term → (blocks, its largest weight in each), and its largest weight in any abusive block
+        self.most = {t: (np.array([k for k, _ in ps]), np.array([w for _, w in ps])) for t, ps in most.items()}
+        self.most_abusive = {t: max(ws) for t, ps in most.items() if (ws := [w for k, w in ps if k < self.abusive_blocks])}
         self.vote = lru_cache(60_000)(self._vote)
 
-    def __reduce__(self):
-        return Index, self.args
-
     def vector(self, ws: tuple[str, ...]) -> dict[str, float]:
-        idf, unseen = self.idf, self.unseen
-        raw = {t: idf.get(t, unseen) if c == 1 else (1 + log(c)) * idf.get(t, unseen) for t, c in terms(ws).items()}
+        raw = {}
+        for t, c in terms(ws).items():
+            w = self.idf.get(t, self.unseen)
+            a, _, b = t.partition(" ")
+            if a in general.GRAMMAR and (not b or b in general.GRAMMAR):
+                w *= GRAMMAR_WEIGHT
+            if w > 0:
+                raw[t] = w if c == 1 else (1 + log(c)) * w
         norm = sqrt(sum(v * v for v in raw.values())) or 1.0
-        return {t: v / norm for t, v in raw.items() if v > 0}
-
-    def nearest(self, ws: tuple[str, ...], without: int | None = None) -> list[tuple[float, int]]:
-        """The ``NEAREST`` examples by exact cosine of at least ``FLOOR``; [] if no abusive example reaches it.
+        return {t: v / norm for t, v in raw.items()}
 
-        Terms go by falling bound; once the terms to come can't lift an unseen example over the floor, only blocks that could
-        still matter to examples already seen are read."""
-        q = self.vector(ws)
-        if sum(w * self.post[t][4] for t, w in q.items() if t in self.post) < FLOOR:
-            return []
-        bad: dict[int, float] = {}
+    def nearest(self, ws: tuple[str, ...], without: int | None = None, k: int = NEAREST, q: dict[str, float] | None = None, floor: float = FLOOR) -> list[tuple[float, int]]:
+        """The ``k`` examples of largest cosine, at least ``floor``, exactly; ties by place."""
+        q = self.vector(ws) if q is None else q
+        bound = np.zeros(len(self.blocks))
+        for t, w in q.items():
+            if t in self.most:
+                ids, ms = self.most[t]
+                bound[ids] += w * ms
+        best: list[tuple[float, int]] = []
+        least = floor
+        for b in np.argsort(-bound, kind="stable"):
+            if bound[b] < least - 1e-12:
+                break
+            got = self._scored(int(b), q, without)
+            best += [x for x in got if x[0] >= least]
+            if len(best) >= k:
+                best = sorted(best, key=lambda x: (-x[0], x[1]))[:k]
+                least = best[-1][0]
+        return sorted(best, key=lambda x: (-x[0], x[1]))
+
+    def _scored(self, b: int, q: dict[str, float], without: int | None) -> list[tuple[float, int]]:
+        block, sums = self.blocks[b], {}
         for t, w in q.items():
-            for i, x in self.abusive.get(t, ()):
-                bad[i] = bad.get(i, 0.0) + w * x
-        if max(bad.values(), default=0.0) < FLOOR:
-            return []
-        lists = sorted(((w * self.post[t][3], t, w) for t, w in q.items() if t in self.post), reverse=True)
-        rest = sum(b for b, _, _ in lists)
-        got: dict[int, float] = {}
-        for bound, t, w in lists:
-            ids, weights, blocks, _, _ = self.post[t]
-            if rest >= FLOOR:  # an unseen example may still come in
-                for i, x in zip(ids, weights, strict=True):
-                    got[i] = got.get(i, 0.0) + w * x
-            else:
-                for k, most in enumerate(blocks):
-                    if w * most <= 0:
-                        continue
-                    for a in range(k * BLOCK, min(len(ids), (k + 1) * BLOCK)):
-                        if ids[a] in got:
-                            got[ids[a]] += w * weights[a]
-            rest -= bound
-        best = sorted(((s, i) for i, s in got.items() if s >= FLOOR and (without is None or self.doc[i] != without)), key=lambda x: (-x[0], x[1]))
-        return best[:NEAREST]
+            for i, x in block.get(t, ()):
+                sums[i] = sums.get(i, 0.0) + w * x
+        return [(s, i) for i, s in sums.items() if s >= FLOOR and (without is None or self.doc[i] != without)]
 
     def _vote(self, ws: tuple[str, ...], without: int | None = None) -> tuple[float, int]:
-        """(vote of the nearest examples, the nearest abusive example or -1)."""
-        near = self.nearest(ws, without)
-        if not near:
+        """(vote of the nearest examples, the nearest abusive example or -1).
+
+        Examples that aren't abusive vote 0, so without an abusive one of at least ``FLOOR`` the vote is 0 whatever the nearest are;
+        that is told from the blocks of abusive examples alone, and most passages end there."""
+        q = self.vector(ws)
+        if sum(w * self.most_abusive[t] for t, w in q.items() if t in self.most_abusive) < FLOOR:
+            return 0.0, -1
+        bound = np.zeros(len(self.blocks))
+        for t, w in q.items():
+            if t in self.most:
+                bound[self.most[t][0]] += w * self.most[t][1]
+        if not any(self.label[i] > 0.5 for b in np.flatnonzero(bound[: self.abusive_blocks] >= FLOOR) for _, i in self._scored(int(b), q, without)):
             return 0.0, -1
-        weigh = [(s * s / (1.05 - s) * self.strength[i], self.label[i]) for s, i in near]
-        abusive = [(s, i) for s, i in near if self.label[i] > 0.5]
-        vote = sum(w * y for w, y in weigh) / sum(w for w, _ in weigh)
-        close = max((s for s, _ in abusive), default=0.0)
-        return vote * min(1.0, close / (0.45 if len(ws) >= 5 else 0.8)), abusive[0][1] if abusive else -1
+        near = self.nearest(ws, without, q=q)
+        weigh = [(s * s / (1.05 - s), self.label[i]) for s, i in near]
+        abusive = [i for _, i in near if self.label[i] > 0.5]
+        return sum(w * y for w, y in weigh) / (CALM + sum(w for w, _ in weigh)), abusive[0] if abusive else -1
 
     def score(self, text: str | None, without: int | None = None) -> tuple[float, str | None, int]:
         """(largest vote, the passage, the example nearest to it)."""
         best: tuple[float, str | None, int] = (0.0, None, -1)
         for ws in passages(text):
-            v, i = self.vote(ws) if without is None else self._vote(ws, without)
+            v, i = self.vote(ws, without) if without is None else self._vote(ws, without)
             if v > best[0]:
                 best = v, " ".join(ws), i
         return best
 
 
-def seeds() -> list[tuple[tuple[str, ...], float, float, int | None]]:
-    out = []
-    for block, label in ((ABUSIVE, 1.0), (ACCEPTABLE, 0.0)):
-        for line in re.split(r"[|\n]", block):
-            for ws in passages(line):
-                out.append((ws, label, 2.0, None))
-    return out
+def seeds() -> list[Example]:
+    return [(ws, label, None) for label, lines in ((1.0, general.abusive()), (0.0, general.acceptable())) for line in lines for ws in passages(line)]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> list[tuple[float, float]]:
-    """Pool-adjacent-violators steps (from, value)."""
+    """Pool-adjacent-violators steps (from, value); equal values of ``x`` are one step."""
     blocks: list[list[float]] = []
-    for a, b in sorted(zip(x.tolist(), y.tolist(), strict=True)):
-        blocks.append([a, b, 1.0])
+    at, where = np.unique(np.round(x, 9), return_inverse=True)
+    for a, s, n in zip(at.tolist(), np.bincount(where, y).tolist(), np.bincount(where).tolist(), strict=True):
+        blocks.append([a, s, n])
         while len(blocks) > 1 and blocks[-2][1] / blocks[-2][2] >= blocks[-1][1] / blocks[-1][2]:
             _, s, n = blocks.pop()
             blocks[-1][1] += s
@@ -230,13 +229,15 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> list[tuple[float, float]]:
     return [(a, s / n) for a, s, n in blocks]
 
 
-class Scorer:
+class Scorer(Once):
     """Index and calibration, as shipped to the executors."""
 
     def __init__(self, index: Index, steps: list[tuple[float, float]]):
+        self.args = (index, steps)
         self.index, self.steps = index, steps
 
     def calibrated(self, vote: float) -> float:
+        """The share of abusive ones among reviewed documents of such a vote; the vote itself without calibration."""
         at = 0.0
         for a, v in self.steps:
             if vote < a:
@@ -245,16 +246,29 @@ class Scorer:
         return at if self.steps else vote
 
 
-def fit(documents: DataFrame, key: str, text: str, marks: DataFrame, mark_key: str, verdict: str) -> Scorer:
-    """Builds the index from seeds and reviews and calibrates it. The driver gets at most ``MOST_MARKED`` reviewed texts and the frequencies of their terms."""
+def spread(spark: SparkSession, rows: list[tuple], schema: str, run: Callable, out: str, parts: int = 24) -> list:
+    """``run`` over bounded driver rows on the executors."""
+    if not rows:
+        return []
+    return spark.createDataFrame(pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")]), schema).repartition(min(parts, len(rows))).mapInPandas(run, out).collect()
+
+
+def reviews(documents: DataFrame, key: str, text: str, marks: DataFrame, mark_key: str, verdict: str) -> list[tuple]:
+    """[(key, text, rejected)] of the reviewed documents: at most ``MOST_MARKED``, and as many of them, in order of hash, as hold ``MOST_CHARACTERS``."""
     said = F.lower(F.trim(F.col(verdict)))
     told = marks.filter(F.col(mark_key).isNotNull()).groupBy(F.col(mark_key).alias(key)).agg(F.sum(F.when(said == "reject", 1).when(said == "ok", -1).otherwise(0)).alias("balance")).filter("balance <> 0")
     some = told.orderBy(F.xxhash64(key), key).limit(MOST_MARKED)
     held = documents.select(key, text).join(F.broadcast(some), key).dropDuplicates([key])
-    so_far = F.sum(F.length(text)).over(Window.orderBy(F.xxhash64(key), key).rowsBetween(Window.unboundedPreceding, 0))  # at most MOST_MARKED rows
-    reviewed = held.withColumn("__so_far", so_far).filter(F.col("__so_far") <= MOST_CHARACTERS).collect()
-    read = [(r[0], [p for p in passages(r[1])], r[2] > 0) for r in reviewed]
-    vocabulary = {t for ws, _, _, _ in seeds() for t in terms(ws)} | {t for _, ps, _ in read for p in ps for t in terms(p)}
+    # lengths first: at most MOST_MARKED rows of numbers; then the texts of those that are taken
+    sized = held.select(key, F.length(text).alias("__n"))
+    so_far = F.sum("__n").over(Window.orderBy(F.xxhash64(key), key).rowsBetween(Window.unboundedPreceding, 0))
+    taken = {r[0] for r in sized.withColumn("__so_far", so_far).filter(F.col("__so_far") <= MOST_CHARACTERS).select(key).collect()}
+    return [(r[0], r[1], r[2] > 0) for r in held.filter(F.col(key).isin(sorted(taken))).collect()] if taken else []
+
+
+def frequencies(documents: DataFrame, text: str, vocabulary: set[str]) -> tuple[dict[str, int], int]:
+    """Number of passages of all documents that hold each term of the vocabulary, and of all passages."""
+    known = Vocabulary(sorted(vocabulary))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         df: Counter = Counter()
@@ -263,41 +277,19 @@ def fit(documents: DataFrame, key: str, text: str, marks: DataFrame, mark_key: s
             for t in pdf[text]:
                 seen.update(passages(t))
             if len(seen) > 200_000:
-                _add(df, seen, vocabulary)
-        _add(df, seen, vocabulary)
+                _add(df, seen, known.terms)
+        _add(df, seen, known.terms)
         if df:
             yield pd.DataFrame({"term": list(df), "n": list(df.values())})
 
-    rows = documents.select(text).mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n")).collect()
-    df = {t: n for t, n in rows}
-    n = df.pop("", 0)
-    # Which passages of rejected documents are the abusive ones: those nearer to a seed or to another rejected document than to a fine one.
-    fine: dict[tuple[str, ...], int] = Counter(p for _, ps, bad in read if not bad for p in set(ps))
-    bad: dict[tuple[str, ...], set] = defaultdict(set)
-    for k, ps, is_bad in read:
-        if is_bad:
-            for p in ps:
-                bad[p].add(k)
-    base = seeds()
-    ok_index = Index([(p, 1.0, 1.0, None) for p in fine], df, n)  # looked for here as abuse is elsewhere
-    seed_index = Index(base, df, n)
-    taken = []
-    bad_index = Index([(p, 1.0, 1.0, next(iter(owners)) if len(owners) == 1 else None) for p, owners in bad.items()], df, n)
-    for p, owners in bad.items():
-        if p in fine:
-            continue
-        near = ok_index.nearest(p)
-        to_fine = near[0][0] if near else 0.0
-        alone = next(iter(owners)) if len(owners) == 1 else None
-        # Several owners: another rejected document holds the very passage.
-        to_bad = 1.0 if alone is None else next((c for c, _ in bad_index.nearest(p, alone)), 0.0)
-        if to_fine < 0.6 and (seed_index.vote(p)[0] >= 0.6 or to_bad >= 0.6):
-            taken.append((p, 1.0, 1.0, alone))
-    calm = [(p, 0.0, 1.0, None) for p in fine if seed_index.vote(p)[0] < 0.6]
-    index = Index(base + taken + calm, df, n)
-    votes = np.array([max((index._vote(p, k)[0] for p in ps), default=0.0) for k, ps, _ in read])
-    steps = isotonic(votes, np.array([float(b) for _, _, b in read])) if len(read) >= 50 else []
-    return Scorer(index, steps)
+    df = {t: n for t, n in documents.select(text).mapInPandas(count, "term string, n long").groupBy("term").agg(F.sum("n")).collect()}
+    return df, df.pop("", 0)
+
+
+class Vocabulary(Once):
+    def __init__(self, some: list[str]):
+        self.args = (some,)
+        self.terms = set(some)
 
 
 def _add(df: Counter, seen: Counter, vocabulary: set[str]) -> None:
@@ -309,6 +301,68 @@ def _add(df: Counter, seen: Counter, vocabulary: set[str]) -> None:
     seen.clear()
 
 
+def judged(spark: SparkSession, read: list[tuple], df: dict[str, int], n: int) -> list[Example]:
+    """Every passage of the reviewed documents with the chance that it is abusive, as the reviews together show it.
+
+    A passage that is abusive stands in rejected documents but for wrong verdicts (``TRUST``), any other in as many as there are among
+    all reviewed ones: so each rejected document with the passage, or one like it, speaks for abuse and each fine one against it.
+    Of a rejected document's passages that no other document knows, as many as fine documents have on average are expected to be
+    ordinary; but if nothing else explains the rejection, one of them does. Fewer than ``LEAST_MARKED`` reviews don't tell that."""
+    owners: dict[tuple[str, ...], set] = defaultdict(set)
+    bad = {k: b for k, _, b in read}
+    for k, ps, _ in read:
+        for p in ps:
+            owners[p].add(k)
+    rejected = {p: sum(bad[k] for k in ks) for p, ks in owners.items()}
+    whole = Index([(p, 1.0, None) for p in owners], df, n)
+    counts = [(rejected[e[0]], len(owners[e[0]]) - rejected[e[0]]) for e in whole.examples]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            near = [whole.nearest(tuple(p.split()), k=len(counts), floor=ALIKE) for p in pdf["p"]]
+            yield pdf.assign(r=[sum(counts[i][0] for _, i in ns) for ns in near], f=[sum(counts[i][1] for _, i in ns) for ns in near])
+
+    told = {tuple(r.p.split()): (r.r, r.f) for r in spread(spark, [(" ".join(p),) for p in sorted(owners)], "p string", run, "p string, r long, f long")}
+    base = (sum(bad.values()) + 1) / (len(bad) + 20)  # drawn towards one in twenty while there are few reviews
+    lone: dict[int, list] = defaultdict(list)
+    for p, ks in owners.items():
+        if sum(told[p]) == 1:
+            lone[next(iter(ks))].append(p)
+    ordinary = sum(len(ps) for k, ps in lone.items() if not bad[k]) / max(sum(not b for b in bad.values()), 1)
+    chance = {p: 1 / (1 + exp(min(500.0, log((1 - FEW) / FEW) + r * log(base / TRUST) + f * log((1 - base) / (1 - TRUST))))) for p, (r, f) in told.items()}
+    explained = {k for p, ks in owners.items() if chance[p] > 0.5 for k in ks}
+    out = []
+    for p, ks in owners.items():
+        k = next(iter(ks)) if len(ks) == 1 else None
+        y = chance[p]
+        if len(bad) >= LEAST_MARKED and k is not None and bad[k] and p in lone.get(k, ()):
+            y = TRUST * max(0.0 if k in explained else 1 / len(lone[k]), 1 - ordinary / len(lone[k]))
+        out.append((p, y, k))
+    return out
+
+
+def fit(documents: DataFrame, key: str, text: str, marks: DataFrame, mark_key: str, verdict: str) -> Scorer:
+    """Builds the index from seeds and reviews and calibrates it. The driver gets at most ``MOST_MARKED`` reviewed texts and the
+    frequencies of their terms; searches run on the executors."""
+    spark = documents.sparkSession
+    held = reviews(documents, key, text, marks, mark_key, verdict)
+    number = {k: i for i, (k, _, _) in enumerate(held)}  # keys of any type
+    read = [(number[k], list(dict.fromkeys(passages(t))), bad) for k, t, bad in held]
+    base = seeds()
+    df, n = frequencies(documents, text, {t for ws, _, _ in base for t in terms(ws)} | {t for _, ps, _ in read for p in ps for t in terms(p)})
+    known = {ws for ws, _, _ in base}
+    index = Index(base + [e for e in judged(spark, read, df, n) if e[0] not in known], df, n)
+
+    def votes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[["k"]].assign(v=[index.score(t, k)[0] for k, t in zip(pdf["k"], pdf["t"], strict=True)])
+
+    if len(held) < LEAST_MARKED:
+        return Scorer(index, [])
+    own = {r.k: r.v for r in spread(spark, [(number[k], t) for k, t, _ in held], "k long, t string", votes, "k long, v double")}
+    return Scorer(index, isotonic(np.array([own[number[k]] for k, _, _ in held]), np.array([float(b) for _, _, b in held])))
+
+
 def scores(documents: DataFrame, key: str, text: str, scorer: Scorer, *keep: str) -> DataFrame:
     """(key, keep…, vote, score, evidence) of every document; evidence is the passage with the largest vote. Kept columns that are called like the added ones are replaced."""
     kinds = dict(documents.dtypes)

@@ -156,7 +156,7 @@ def abuse_scores(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
-    return abuse_scores(spark, d).filter(F.col("vote") >= abuse.FOUND).select("doc_id")
+    return abuse_scores(spark, d).filter(F.col("score") >= abuse.FOUND).select("doc_id")
 
 
 @query
@@ -167,5 +167,5 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     """Rate of abusive documents per source."""
-    bad = F.col("vote") >= abuse.FOUND
+    bad = F.col("score") >= abuse.FOUND
     return abuse_scores(spark, d).groupBy("source").agg(F.count("*").alias("documents"), F.count_if(bad).alias("abusive"), F.avg("score").alias("mean_score")).withColumn("rate", F.col("abusive") / F.col("documents"))
