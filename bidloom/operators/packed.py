@@ -1,12 +1,13 @@
 """Problem 6: several values packed in one field, split into one row per value with its position.
 
 Dictionary-guided segmentation: a multi-pattern automaton finds every known whole value, the field is cut at every possible
-delimiter, and dynamic programming picks the best cover of the pieces by known values, quoted values and single pieces;
-a delimiter inside a known value or inside quotes doesn't split.
+delimiter and, where known values follow each other without one, between them; dynamic programming picks the best cover of the
+pieces by known values, quoted values and single pieces; a delimiter inside a known value or inside quotes doesn't split.
 
 Defined cases: null, empty and blank fields and sentences of prose give no values; a field that names one value gives
 that one value (callers that want only packed fields ask for two); empty places between delimiters aren't counted, repeated
-names are; texts of any length are read whole; an empty table gives an empty result.
+names are; a piece of prose (over ``PROSE`` words, unknown) is no value, and beside it only known values count, if there are two;
+texts of any length are read whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -15,12 +16,12 @@ import re
 import unicodedata
 from functools import lru_cache
 
-import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidloom.functions.fold import bare, osa
+from bidloom.functions.worker import Once, bounded
 
 #: Entries of a dictionary that may be collected and shipped to the executors.
 MOST_ENTRIES = 200_000
@@ -35,8 +36,8 @@ EQUIVALENT = re.compile(r"[\s,;/(\[-]*(?:\b(?:hoặc|or|và/hoặc|and/or)\s+)?(
 QUOTES = {'"': '"', "'": "'", "“": "”", "‘": "’", "«": "»"}
 LONE_DASH = re.compile(r"[-–—]+\s+")
 DASH = re.compile(r"\s[-–—]+\s")
-#: A field without any of these names at most one value.
-MAYBE = r"[;,、|+•/\t\n\[\]]|\s[-–—]+\s|(?i)\s(và|and|or|hoặc)\s|\d[.)]\s|&"
+#: A field without any of these, one word that is, names at most one value.
+MAYBE = r"[;,、|+•/\[\]&]|\S\s+\S"
 TYPE = "array<struct<list_kind string, value_no int, value_text string>>"
 
 
@@ -46,10 +47,17 @@ def _fold_char(c: str) -> str:
     return "" if unicodedata.category(c) in ("Mn", "Cf") else "d" if c == "đ" else " " if c.isspace() else c
 
 
-class Segmenter:
+#: An unknown piece of more words is prose.
+PROSE = 6
+
+
+class Segmenter(Once):
     """Splits single fields. ``names``: (kind, name) of the dictionary; the first kind is the default one."""
 
     def __init__(self, names: list[tuple[str, str]]):
+        import ahocorasick
+
+        self.args = (names,)
         self.names = names
         self.kinds = list(dict.fromkeys(k for k, _ in names))
         self.known: dict[str, str] = {}
@@ -62,10 +70,9 @@ class Segmenter:
         if names:
             self.auto.make_automaton()
         self.inner = [self.key(n) for _, n in names if re.search(r"[,/&]", n)]
-        self.split = lru_cache(100_000)(self._split)
-
-    def __reduce__(self):
-        return Segmenter, (self.names,)
+        #: No known value spans more pieces.
+        self.most = 1 + max((len(self._scan(n)[0]) for _, n in names), default=0)
+        self.split = bounded(self._split, 100_000)
 
     @staticmethod
     def key(text: str) -> str:
@@ -95,6 +102,19 @@ class Segmenter:
         key = re.sub(r"\b(co ltd|co|ltd|jsc|inc|llc|corp|gmbh|vn|pro|plus|eco)\b", "", key).strip()
         return self.known.get(re.sub(" +", " ", key))
 
+    def row(self, text: str) -> list[tuple[str, str]]:
+        """Known values that follow each other with nothing but blanks between, and make up the whole text: the cover by the fewest; [] if there is none."""
+        found = self.mentions(text)
+        if len(found) < 2:
+            return []
+        ends: dict[int, tuple[int, list[tuple[str, str]]]] = {0: (0, [])}
+        for start, end, kind in sorted(found):
+            for at in [a for a in ends if a <= start and not text[a:start].strip()]:
+                n, parts = ends[at]
+                if end not in ends or n + 1 < ends[end][0]:
+                    ends[end] = n + 1, [*parts, (text[start:end], kind)]
+        return ends[len(text)][1] if len(text) in ends and ends[len(text)][0] > 1 else []
+
     def _near(self, text: str) -> bool:
         """A misspelt known value that holds a delimiter itself."""
         key = self.key(re.sub(rf"(?i)[\s,]*\b{LEGAL}\.?", "", text)).replace(" ", "")
@@ -161,7 +181,7 @@ class Segmenter:
         best: list[tuple[float, int, str | None]] = [(0.0, -1, None)]
         for j in range(1, n + 1):
             found = (-1e9, j - 1, None)
-            for i in range(j - 1, max(-1, j - 5), -1):
+            for i in range(j - 1, max(-1, j - 1 - max(4, self.most)), -1):
                 if i < j - 1 and not all(re.search(r"\w", pieces[k][0]) for k in (i, j - 1)) or i < j - 1 and any(k in labels or k in dashes or pieces[k][1] for k in range(i + 1, j)) or i < j - 1 and pieces[i][1]:
                     break
                 raw = pieces[i][0].strip() if i == j - 1 else cut[pieces[i][2] : pieces[j - 1][3]].strip()
@@ -170,7 +190,7 @@ class Segmenter:
                 if kind:
                     score = 2.0 * size + 0.5
                 elif i == j - 1:
-                    score = 0.0 if not raw else 1.0 if pieces[i][1] else 0.5 if len(raw.split()) <= 6 else -1.0
+                    score = 0.0 if not raw else 1.0 if pieces[i][1] else 0.5 if len(raw.split()) <= PROSE else -1.0
                 elif self.inner and self._near(raw):
                     score = 2.0 * size + 0.2
                 else:
@@ -192,9 +212,14 @@ class Segmenter:
                 raw = raw.strip(" .") if not re.search(rf"{LEGAL}\.$|®$", raw) else raw
             if "&" in raw and not kind and len(parts := [p.strip() for p in raw.split("&")]) > 1 and all(self.kind_of(p) for p in parts):
                 values += [(i, p, self.kind_of(p)) for p in parts]
+            elif raw and not kind and not pieces[i][1] and (parts := self.row(raw)):
+                values += [(i, p, k) for p, k in parts]
             elif raw and re.search(r"\w", raw):
                 values.append((i, raw, kind or ("" if pieces[i][1] else None)))
-        if not values or any(k is None and len(v.split()) > 6 for _, v, k in values):
+        if any(k is None and len(v.split()) > PROSE for _, v, k in values):
+            values = [x for x in values if x[2]]
+            values = values if len(values) > 1 else []
+        if not values:
             return []
         if sum(bool(k) or bool(self.mentions(v)) for _, v, k in values) * 2 < len(values):
             return []

@@ -36,3 +36,21 @@ def test_clashing_names(spark):
     df = spark.createDataFrame([("Raskura, Kosvino", 9, "x")], "f string, value_no int, LIST_KIND string")
     out = split_values(df, "f", CUT)
     assert out.columns == ["f", "list_kind", "value_no", "value_text"] and sorted(r.value_no for r in out.collect()) == [1, 2]
+
+
+def test_long_values_prose_and_rows_of_names():
+    from bidloom.operators.packed import Segmenter
+
+    s = Segmenter([("brand", "A/B/C/D/E/F"), ("brand", "Raskura"), ("brand", "Kosvino"), ("brand", "Kosvino Prime"), ("origin", "Đức")])
+    assert s.split("A/B/C/D/E/F; Raskura") == [("brand", 1, "A/B/C/D/E/F"), ("brand", 2, "Raskura")]
+    assert s.split("Raskura Kosvino") == [("brand", 1, "Raskura"), ("brand", 2, "Kosvino")]
+    assert s.split("Raskura Kosvino Prime Đức") == [("brand", 1, "Raskura"), ("brand", 2, "Kosvino Prime"), ("origin", 1, "Đức")]
+    assert s.split("Raskura; Kosvino; a piece of prose that has more than six words") == [("brand", 1, "Raskura"), ("brand", 2, "Kosvino")]
+    assert s.split("All the pipes must be by Raskura, and every valve has to be checked before delivery") == []
+    assert s.split("Raskura Kosvino" * 3000) is not None
+
+
+def test_rows_without_delimiter(spark):
+    df = spark.createDataFrame([(1, "Raskura Kosvino"), (2, "Raskura"), (3, "Raskura Đức"), (4, " Raskura ")], "id int, f string")
+    cut = Segmenter([("brand", "Raskura"), ("brand", "Kosvino"), ("origin", "Đức")])
+    assert sorted((r.id, r.list_kind, r.value_text) for r in split_values(df, "f", cut).collect()) == [(1, "brand", "Kosvino"), (1, "brand", "Raskura"), (3, "brand", "Raskura"), (3, "origin", "Đức")]
