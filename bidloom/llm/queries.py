@@ -44,17 +44,12 @@ def p2_restored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def typed_values(spark: SparkSession, d: str) -> DataFrame:
-    """(src, row_id, field_name, value_no, value, list_kind) of every non-blank brand and origin typed in a field or an array."""
-    items = read(spark, d, "item_records")
-    asked = read(spark, d, "material_requirements")
-    parts = [items.select(F.lit("item_records").alias("src"), F.col("item_id").alias("row_id"), F.lit(c).alias("field_name"), F.lit(1).alias("value_no"), F.col(c).alias("value"), F.lit(c).alias("list_kind")) for c in ("brand", "origin")]
-    for c in ("allowed_brands", "allowed_origins"):
-        each = asked.select("requirement_id", F.posexplode(c).alias("at", "value"))
-        parts.append(each.select(F.lit("material_requirements"), "requirement_id", F.lit(c), F.col("at") + 1, "value", F.lit(c[8:-1])))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.filter(F.col("value").rlike(r"[^\s ]"))
+    """(src, row_id, field_name, value_no, value, list_kind) of every non-blank brand and origin typed in a field or an array; each table is read once."""
+    one = lambda c: F.array(F.struct(F.lit(c).alias("field_name"), F.lit(1).alias("value_no"), F.col(c).alias("value"), F.lit(c).alias("list_kind")))
+    several = lambda c: F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda v, i: F.struct(F.lit(c).alias("field_name"), (i + 1).alias("value_no"), v.alias("value"), F.lit(c[8:-1]).alias("list_kind")))
+    items = read(spark, d, "item_records").select(F.lit("item_records").alias("src"), F.col("item_id").alias("row_id"), F.explode(F.concat(one("brand"), one("origin"))).alias("v"))
+    asked = read(spark, d, "material_requirements").select(F.lit("material_requirements"), "requirement_id", F.explode(F.concat(several("allowed_brands"), several("allowed_origins"))))
+    return items.union(asked).select("src", "row_id", "v.*").filter(F.col("value").rlike(r"[^\s ]"))
 
 
 def mappers(spark: SparkSession, d: str) -> tuple[canonical.Mapper, canonical.Mapper]:
@@ -69,19 +64,15 @@ def mapped_values(spark: SparkSession, d: str) -> DataFrame:
     """Every typed value with the id of its entry; packed brand fields are left to problem 6."""
     brands, origins = mappers(spark, d)
     names = [("brand", n) for _, n in brands.args[0]] + [("origin", n) for _, n in origins.args[0]]
-    value, kind = F.col("value"), F.col("list_kind")
-    exact = F.when(kind == "brand", value.isin(sorted(n for _, n in brands.args[0]))).otherwise(value.isin(sorted({n for _, n in origins.args[0]})))
-    rows = typed_values(spark, d).withColumn("exact", exact)
-    rows = rows.withColumn("packed", F.when((F.col("field_name") == "brand") & ~F.col("exact"), packed.is_packed(value, packed.Segmenter(names))).otherwise(F.lit(False)))
-    rows = rows.filter(~F.col("packed"))
-    return rows.withColumn("list_id", F.when(kind == "brand", canonical.map_column(F.when(kind == "brand", value), brands)).otherwise(canonical.map_column(F.when(kind == "origin", value), origins)))
+    cut = packed.Segmenter(names)
+    exact = {n for _, n in brands.args[0]} | origins.canonical
+    got = typed_values(spark, d).withColumn("got", canonical.map_values(F.col("field_name"), F.col("value"), {"brand": brands, "origin": origins, "allowed_brands": brands, "allowed_origins": origins}, exact, lambda v: len(cut.split(v)) >= 2, "brand"))
+    return got.filter("not got.packed").select("src", "row_id", "field_name", "value_no", "value", "list_kind", "got.exact", "got.list_id")
 
 
 @query
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    origins = [r.origin_name for r in read(spark, d, "origin_list").limit(packed.MOST_ENTRIES).collect()]
-    brands = [r.brand_name for r in read(spark, d, "brand_list").limit(packed.MOST_ENTRIES).collect()]
-    return mapped_values(spark, d).filter(~F.col("value").isin(*origins, *brands)).select("src", "row_id", "field_name", "value_no", "list_id")
+    return mapped_values(spark, d).filter("not exact").select("src", "row_id", "field_name", "value_no", "list_id")
 
 
 @query

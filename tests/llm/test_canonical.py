@@ -30,3 +30,25 @@ def test_rows(spark):
     assert [r[0] for r in df.select(canonical.map_column(F.col("v"), BRANDS)).collect()] == [6, None, None, -1, -1]
     assert df.limit(0).select(canonical.map_column(F.col("v"), BRANDS)).count() == 0
     assert canonical.brand_mapper([]).map("a") == -1
+
+
+SHORT = canonical.brand_mapper([(1, "ABB"), (2, "LG"), (3, "Zennoberg"), (4, "Kosvino")])
+PLACES = canonical.origin_mapper([(1, "Hoa Kỳ", "United States", "US"), (2, "Nhật Bản", "Japan", "JP"), (3, "Đức", "Germany", "DE"), (4, "Ý", "Italy", "IT"), (5, "Ấn Độ", "India", "IN"), (6, "Thái Lan", "Thailand", "TH")])
+
+
+@pytest.mark.parametrize(("value", "told"), [("thiết bị ABB chính hãng loại tốt", 1), ("điều hoà LG inverter", 2), ("loại abb hay lg gì đó", -1), ("máy Zennoberg hoặc Kosvino ABB", 3), ("LG", 2)])
+def test_short_brands_inside(value, told):
+    assert SHORT.map(value) == told
+
+
+@pytest.mark.parametrize(("value", "told"), [("hàng loại 1 của Mỹ sản xuất", 1), ("máy từ Nhật rất tốt", 2), ("thiết bị Deutschland lắp ráp", 3), ("động cơ Ý nguyên chiếc", 4), ("sản phẩm Đức cao cấp", 3), ("đã xử lý nước thải in ấn", -1), ("hàng của Ý và Mỹ", 1), ("lắp tại Germany cùng Thailand", 6), ("máy Italia hoặc Nippon", -1)])
+def test_aliases_inside(value, told):
+    assert PLACES.map(value) == told
+
+
+def test_very_long_values():
+    import time
+
+    began = time.time()
+    assert SHORT.map("kosvinoo" * 500) == -1 and SHORT.map("x" * 100_000 + " ABB") == 1
+    assert time.time() - began < 5
