@@ -13,7 +13,19 @@ from bidloom.llm import garbled
 EXACT = garbled.Repairer([])
 ODD = re.compile(f"[^\\x00-\\x7F{garbled.V}²³×Ø°±©®–]")
 POWERS = str.maketrans({"²": "2", "³": "3", "×": "x", "^": None, "Ø": " ", "®": " ", "©": " ", "±": " ", "°": " ", "–": "-"})
-PART = re.compile(r"(?<![a-z0-9])([a-z]{2})([-./ ]?)(\d{3})[-./ ]?([a-z]\d{2})[-./ ]?([a-z])(?![a-z0-9])")
+#: A run of letters and digits, with single signs inside; one of both, changing often enough, is a part number.
+RUN = re.compile(r"(?<![a-z0-9])[a-z0-9]+(?:[-./][a-z0-9]+)*(?![a-z0-9])")
+GROUPS = re.compile(r"[a-z]+|\d+")
+#: A number with a unit, a number, a word: what measures are made of, and part numbers aren't alone.
+MEASURE = re.compile(r"\d+(?:[a-z]{1,3}\d?)?|[a-z]+")
+#: Sides of a thing, as 20x30x2cm; a word, a number and a group of a letter and digits, as in "mc 719 x16b".
+SIDES = re.compile(r"\d+(?:[.,]\d+)?[a-z]{0,2}(?:x\d+(?:[.,]\d+)?[a-z]{0,3}\d?)+")
+SPACED = re.compile(r"(?<![a-z0-9])[a-z]{1,4} \d{2,6} ([a-z]\d{2,4}[a-z]?)(?![a-z0-9])")
+#: What part numbers are introduced with, and where a stretch of a listing ends.
+LABEL = re.compile(r"(?<![a-z0-9])(?:ma(?: hieu| so| hang| sp)?|ky hieu|model|type|p/?n|part (?:no|number)|ref|series|sku|art(?:icle)?)\b\s*[.:=#]?\s*")
+END = re.compile(r"\s*(?:[;()\[\]|]|,(?!\d)|\s[-–]\s)\s*")
+#: Letters and digits that a part number has at least and in all at most, and the longest group of one that is written with blanks.
+LEAST_LETTERS, LEAST_DIGITS, LEAST_GROUPS, LONGEST, LONGEST_GROUP = 2, 3, 3, 24, 6
 GTIN = re.compile(r"(?<!\d)(\d{8}|\d{12,14})(?!\d)")
 # Units of measured attributes, their kind, and their size in SI units.
 UNITS = {
@@ -29,10 +41,8 @@ ANY = "|".join(sorted(map(re.escape, SIZE), key=len, reverse=True))
 VALUE = re.compile(rf"(?<![a-z0-9.,/])(?:[a-z]{{0,4}}[=:]?\s?)?(\d+(?:[.,]\d+)?)\s?({ANY})(?![a-z0-9/=])")
 NUMBER = r"\d+(?:[.,]\d+)?"
 DIMS = re.compile(rf"(?<![\d.,])({NUMBER})\s?(mm|cm|dm|m)?\s?[x*×]\s?({NUMBER})\s?(mm|cm|dm|m)?(?:\s?[x*×]\s?({NUMBER}))?\)?\s?(mm|cm|dm|m)?(?![a-z0-9])")
-# Phrases with numbers that measure nothing of the product.
-NOISE = re.compile(
-    r"bao hanh \d+ thang|moi 100%|z ?275|nap +\d+ +\d+|(?:dvt|don vi tinh|don vi|unit of measure|unit(?=:)|tinh theo|tinh bang|ghi theo|chao theo)\s*[:=]?\s*[^\];)\n]*|\b\d pha\b|\b[0-9]+ ?phase|cu/xlpe/pvc"
-)
+# Phrases with numbers that measure nothing of the product: warranties, units of the bill, phases.
+NOISE = re.compile(r"bao hanh \d+ thang|(?:dvt|don vi tinh|don vi|unit of measure|unit(?=:)|tinh theo|tinh bang|ghi theo|chao theo)\s*[:=]?\s*[^\];)\n]*|\b\d pha\b|\b[0-9]+ ?phase")
 LABELLED_ID = re.compile(r"(?:ean|gtin|upc|barcode|ma vach)\D{0,4}(\d{8}|\d{12,14})(?!\d)")
 
 
@@ -43,12 +53,61 @@ def valid_gtin(digits: str) -> bool:
     return sum(int(c) * (3 if i % 2 else 1) for i, c in enumerate(reversed(digits))) % 10 == 0
 
 
+def part_number(text: str) -> str | None:
+    """The part number that a text is, without its signs and blanks: letters and digits in at least three groups; no measures."""
+    tight = re.sub(r"[-./ ]", "", text)
+    if not 6 <= len(tight) <= LONGEST or not (tight.isascii() and tight.isalnum()):
+        return None
+    digits = sum(c.isdigit() for c in tight)
+    if digits < LEAST_DIGITS or len(tight) - digits < LEAST_LETTERS or len(GROUPS.findall(tight)) < LEAST_GROUPS:
+        return None
+    if VALUE.fullmatch(text) or SIDES.fullmatch(text) or all(MEASURE.fullmatch(p) for p in re.split(r"[-./ ]", text)):
+        return None
+    return tight
+
+
+def labelled_measure(group: str) -> bool:
+    """A letter, a number and a unit of several letters, as in "c149mm"."""
+    m = VALUE.fullmatch(group)
+    return m is not None and (len(m[2]) > 1 or group[0].isdigit())
+
+
+def part_numbers(line: str) -> dict[str, str]:
+    """Part numbers of a text and how each is written there: runs without blanks anywhere; with blanks where a word, a number and a
+    mixed group follow each other, after a label, or as a whole stretch."""
+    out: dict[str, str] = {}
+    for m in RUN.finditer(line):
+        if found := part_number(m[0]):
+            out[found] = m[0]
+    for stretch in END.split(line):
+        labels = [m.end() for m in LABEL.finditer(stretch)]
+        for at in labels or [0]:
+            if SPACED.match(stretch, at):
+                continue  # below
+            groups = stretch[at:].split()
+            some = groups[:1]
+            for g in groups[1:6]:
+                if len(g) > LONGEST_GROUP or not g.isalnum() or g.isalpha() and len(g) > 1 or labelled_measure(g):
+                    break
+                some.append(g)
+            if len(some) > 1 and (labels or len(some) == len(groups)) and not some[0].isdigit() and len(some[0]) <= 4 and (found := part_number(" ".join(some))):
+                out[found] = " ".join(some)
+    for m in SPACED.finditer(line):
+        if not labelled_measure(m[1]) and (found := part_number(m[0])) and not any(m[0] in w for w in out.values()):
+            out[found] = m[0]
+    return out
+
+
 def rounded(x: float) -> str:
     return f"{x:.5g}"
 
 
-@lru_cache(20_000)
 def describe(name: str | None, material: str | None, code: str | None) -> tuple[str | None, str | None]:
+    """``_describe`` with a cache for texts of usual length."""
+    return (_kept if len(name or "") + len(material or "") + len(code or "") <= 2_000 else _describe)(name, material, code)
+
+
+def _describe(name: str | None, material: str | None, code: str | None) -> tuple[str | None, str | None]:
     """(identifier, attributes) of a listing; None for what it doesn't tell.
 
     The identifier is a check-digit-valid trade number or else the maker's part number without separators. The attributes are
@@ -74,12 +133,14 @@ def describe(name: str | None, material: str | None, code: str | None) -> tuple[
         found = "gtin:" + m[1].lstrip("0") if valid_gtin(m[1]) else None
     if found is None and code and (m := GTIN.fullmatch(code.strip())) and valid_gtin(m[1]):
         found = "gtin:" + m[1].lstrip("0")
-    parts = {m[1] + m[3] + m[4] + m[5] for m in PART.finditer(line)}
+    parts = part_numbers(line)
     if found is None and len(parts) == 1:
-        found = parts.pop()
+        found = next(iter(parts))
     elif found is None and parts:
         found = "?" + min(parts)
-    line = NOISE.sub(" ", PART.sub(" ", line))
+    for written in parts.values():
+        line = line.replace(written, " ")
+    line = NOISE.sub(" ", line)
     values: list[tuple[str, float]] = []
 
     def dims(m: re.Match) -> str:
@@ -97,3 +158,6 @@ def describe(name: str | None, material: str | None, code: str | None) -> tuple[
         kind, size = SIZE[m[2]]
         values.append((kind, float(m[1].replace(",", ".")) * size))
     return found, "|".join(sorted(f"{k}:{rounded(v)}" for k, v in values)) or None
+
+
+_kept = lru_cache(20_000)(_describe)

@@ -2,8 +2,8 @@
 
 Each listing gets an identifier (check-digit-valid trade number or normalised maker's part number) and the multiset of its
 measured attributes in SI units (``listing``). Listings are joined on these two reliable keys and form connected components,
-guarded: an attribute set links listings only if all identifiers seen with it are one and the same, and only if it holds at
-least ``least_values`` values; so two products with conflicting part numbers never meet. Under that guard a component is one
+guarded: an attribute set links listings only if all identifiers seen with it are one and the same; if no identifier was seen with
+it, only if it holds at least ``least_values`` values; so two products with conflicting part numbers never meet. Under that guard a component is one
 identifier with the attribute sets that belong to it, or an attribute set alone, and its label follows from one aggregation
 and one join: no iteration and no growing lineage.
 
@@ -48,24 +48,30 @@ def described(df: DataFrame, name: str, material: str, code: str, *keep: str) ->
 def grouped(df: DataFrame, key: str, name: str, material: str, code: str, *keep: str, least_values: int = LEAST_VALUES, salts: int = 8) -> DataFrame:
     """(key, keep…, ident, attrs, product) of the listings that belong to a product; ``product`` is the group's label."""
     told = described(df, name, material, code, key, *keep)
-    enough = F.size(F.split("attrs", r"\|")) >= least_values
-    told = told.withColumn("attrs", F.when(enough, F.col("attrs"))).withColumn("ident", F.when(~F.col("ident").startswith("?"), F.col("ident")))
+    told = told.withColumn("ident", F.when(~F.col("ident").startswith("?"), F.col("ident")))
     told = written(told.filter("ident is not null or attrs is not null"))
+    enough = F.size(F.split("attrs", r"\|")) >= least_values
     # attribute sets whose identifiers agree, one row each; replicated once per salt for the sets that a salted side may hold
     owner = told.filter("ident is not null and attrs is not null").groupBy("attrs").agg(F.min("ident").alias("owner"), F.max("ident").alias("other")).filter("owner = other").select("attrs", "owner")
     salted = owner.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     named = told.filter("ident is not null").withColumn("product", F.col("ident"))
     bare = told.filter("ident is null").withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-    placed = bare.join(salted, ["attrs", "salt"], "left").withColumn("product", F.coalesce("owner", F.concat(F.lit("~"), F.col("attrs")))).select(named.columns)
+    placed = bare.join(salted, ["attrs", "salt"], "left").withColumn("product", F.coalesce("owner", F.when(enough, F.concat(F.lit("~"), F.col("attrs"))))).filter("product is not null").select(named.columns)
     return named.unionByName(placed)
 
 
-def pairs(groups: DataFrame, key: str, seller: str) -> DataFrame:
+#: Listings of one product that one task joins; larger products are split.
+PART_ROWS = 2_000
+
+
+def pairs(groups: DataFrame, key: str, seller: str, part_rows: int = PART_ROWS) -> DataFrame:
     """(key_a, key_b) of the listings of one product by different sellers, smaller key first.
 
-    Listings of one seller's products go before the join; the result is as large as its definition makes it."""
+    Listings of one seller's products go before the join; the result is as large as its definition makes it. A product of more than
+    ``part_rows`` listings is split: its left side over as many parts as it needs, its right side copied to each of them."""
     slim = groups.select("product", F.col(key).alias("k"), F.col(seller).alias("s"))
-    several = slim.groupBy("product").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).filter("lo <> hi").select("product")
-    slim = written(slim.join(several, "product", "left_semi").select(F.xxhash64("product").alias("h"), "product", "k", "s"))
-    a, b = slim.select("h", "product", F.col("k").alias("a"), F.col("s").alias("sa")), slim.select("h", "product", F.col("k").alias("b"), F.col("s").alias("sb"))
-    return a.join(b, ["h", "product"]).filter("a < b and sa <> sb").select(F.col("a").alias(f"{key}_a"), F.col("b").alias(f"{key}_b"))
+    several = slim.groupBy("product").agg(F.min("s").alias("lo"), F.max("s").alias("hi"), F.ceil(F.count("*") / part_rows).cast("int").alias("parts")).filter("lo <> hi").select("product", "parts")
+    slim = written(slim.join(several, "product").select(F.xxhash64("product").alias("h"), "product", "k", "s", "parts"))
+    a = slim.select("h", "product", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int").alias("part"), F.col("k").alias("a"), F.col("s").alias("sa"))
+    b = slim.select("h", "product", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("k").alias("b"), F.col("s").alias("sb"))
+    return a.join(b, ["h", "product", "part"]).filter("a < b and sa <> sb").select(F.col("a").alias(f"{key}_a"), F.col("b").alias(f"{key}_b"))

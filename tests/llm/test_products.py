@@ -1,5 +1,5 @@
 from bidloom.llm import products
-from bidloom.llm.listing import describe, valid_gtin
+from bidloom.llm.listing import describe, part_number, part_numbers, valid_gtin
 
 SCHEMA = "item_id long, bidder string, item_name string, material string, item_code string"
 
@@ -25,12 +25,12 @@ def brute(rows):
             owner.setdefault(attrs, set()).add(ident)
     label = {}
     for k, (s, ident, attrs) in told.items():
-        if attrs and attrs.count("|") < 2:
-            attrs = None
         if ident:
             label[k] = (s, ident)
-        elif attrs:
-            label[k] = (s, next(iter(owner[attrs])) if len(owner.get(attrs, ())) == 1 else attrs)
+        elif attrs and len(owner.get(attrs, ())) == 1:
+            label[k] = (s, next(iter(owner[attrs])))
+        elif attrs and attrs.count("|") >= 2:
+            label[k] = (s, attrs)
     return sorted((a, b) for a in label for b in label if a < b and label[a][1] == label[b][1] and label[a][0] != label[b][0])
 
 
@@ -50,3 +50,26 @@ def test_clashing_names(spark):
     df = spark.createDataFrame([(1, "x", "Thang TC344-W17D", None, None, "?"), (2, "y", "TC344W17D", None, None, "?")], SCHEMA + ", product string")
     g = products.grouped(df, "item_id", "item_name", "material", "item_code", "bidder", "product")
     assert sorted((r.item_id, r["product"]) for r in g.collect()) == [(1, "tc344w17d"), (2, "tc344w17d")]
+
+
+def test_part_numbers_of_any_make():
+    for text, told in (("LC1D09M7", "lc1d09m7"), ("6ES7214-1AG40-0XB0", "6es72141ag400xb0"), ("TC.344.W17.D", "tc344w17d"), ("ABE-103B/C2", "abe103bc2"), ("4x10mm2", None), ("18kw/380v/50hz", None), ("304L", None), ("z275", None), ("m3/h", None), ("DN200", None), ("20.2x10.8", None), ("2020/12/31", None)):
+        assert part_number(text.lower()) == told
+    assert set(part_numbers("contactor lc1d09m7, 18.5kw 380v")) == {"lc1d09m7"}
+    assert set(part_numbers("tu dien ma td 929 c43b - gia tot")) == {"td929c43b"} and set(part_numbers("bom ; og 720 b48b ; 12 kw")) == {"og720b48b"}
+    assert describe("Khởi động từ LC1D09M7", None, "K-1")[0] == describe("Contactor, model LC1-D09-M7", None, None)[0] == "lc1d09m7"
+    assert describe("Module LC1D09M7 cho 6ES7214-1AG40-0XB0", None, None)[0].startswith("?")
+
+
+def test_trade_numbers_group(spark):
+    """Trade numbers with and without the right check digit, in three places; the wrong one links nothing."""
+    rows = [(1, "x", "Dao rọc EAN 4006381333931", None, None), (2, "y", "Cutter knife", None, "4006381333931"), (3, "z", "Knife; barcode: 4006381333931", None, None), (4, "y", "Knife EAN 4006381333932", None, None), (5, "z", "Cutter EAN 4006381333932", None, None), (6, "x", "Ổ cắm, GTIN 00012345600012", None, None), (7, "y", "Socket UPC 012345600012", None, None)]
+    g = products.grouped(spark.createDataFrame(rows, SCHEMA), "item_id", "item_name", "material", "item_code", "bidder")
+    assert {(r.item_id_a, r.item_id_b) for r in products.pairs(g, "item_id", "bidder").collect()} == {(1, 2), (1, 3), (2, 3), (6, 7)}
+
+
+def test_hot_product_is_split(spark):
+    rows = [(i, f"s{i % 3}", "Thang TC344-W17D", None, None) for i in range(50)]
+    g = products.grouped(spark.createDataFrame(rows, SCHEMA), "item_id", "item_name", "material", "item_code", "bidder")
+    got = [(r.item_id_a, r.item_id_b) for r in products.pairs(g, "item_id", "bidder", part_rows=7).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a, b) for a in range(50) for b in range(a + 1, 50) if a % 3 != b % 3}
