@@ -3,18 +3,20 @@
 Every shard of the corpus (a batch of documents inside a task) becomes an array of word numbers and a suffix array of it, sorted
 to the depth that counts as a leak; suffixes that hold a word no test item has can't match and are left out. Every suffix of
 every test item is looked up by binary search, which gives all verbatim matches with their places; matches that follow each
-other extend to the longest one. Shorter matches of ``SEED`` words are found the same way and tell where a damaged copy may
-stand; there the longest common subsequence of the item and the passage decides.
+other extend to the longest one. Damaged copies are found exactly, too: a copy lacks at most a fifth of the item's words, so of any
+of its words it holds all but so many; counted over the words of each item that are rarest in the shard, that leaves few documents
+for an item. In these the longest common subsequence of the item and every passage of about its length decides; as it changes by at
+most one from a passage to the next, passages that can't reach the limit are stepped over.
 
 Only the test items, a fixed list whose size is checked, go to every executor; nothing of the corpus goes to the driver.
 Defined cases: a null, empty or wordless text leaks nothing; items shorter than ``VERBATIM`` words are found by the second
-rule only; texts of any length are read whole; repeated documents each come out; an empty table gives an empty result.
+rule only, items without words never; texts of any length are read whole; repeated documents each come out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,16 +24,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from bidloom.functions.fold import bare
+from bidloom.functions.worker import Once
 
 VERBATIM = 12
-SEED = 3
 SHARE = 0.8
 #: A passage "of about the item's length" has at most so many words for each word of the item.
 STRETCH = 1.35
 #: Test items that may be shipped to every executor, and words of a shard.
 MOST_ITEMS = 100_000
 SHARD_WORDS = 1_000_000
-MARKUP = re.compile(r"<[^<>]{0,300}>|&(?:[a-z]{2,8}|#\d{1,6});", re.I)
+MARKUP = re.compile(r"</?[a-z][^<>]*>|<!--.*?-->|&(?:[a-z]+|#\d+);", re.I | re.S)
 INNER = re.compile(r"(?<=\d)[.,](?=\d)")
 WORD = re.compile(r"[^\W_]+")
 
@@ -58,7 +60,7 @@ def common(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
-class Index:
+class Index(Once):
     """The test items and the lookup of their suffixes in a shard."""
 
     def __init__(self, items: list[tuple[int, str]], verbatim: int = VERBATIM, share: float = SHARE):
@@ -74,17 +76,10 @@ class Index:
             owner += [k] * (len(ws) + 1)
             place += range(len(ws) + 1)
         self.owner, self.place = np.array(owner, np.int64), np.array(place, np.int64)
-        self.member = []
-        for ws in self.items:
-            mine = np.zeros(len(self.vocab) + 1, bool)
-            mine[ws] = True
-            self.member.append(mine)
+        self.member = [np.unique(ws) for ws in self.items]
+        self.least = [int(-(-len(ws) * share // 1)) for ws in self.items]
         self.tables: dict[int, np.ndarray] = {}
         self.deep = self._ranks(np.array(line, np.int64), verbatim, True)
-        self.short = self._ranks(np.array(line, np.int64), SEED, True)
-
-    def __reduce__(self):
-        return Index, self.args
 
     @staticmethod
     def _steps(depth: int) -> list[int]:
@@ -150,38 +145,62 @@ class Index:
                 found[int(d), int(k)] = max(found.get((int(d), int(k)), 0), self.verbatim + int(r))
         for (d, k), n in found.items():
             yield d, self.ids[k], n, min(1.0, n / len(self.items[k]))
-        at, mine = self._matches(self._ranks(line, SEED), self.short)
-        if not len(at):
-            return
-        doc, item = np.searchsorted(first, at, "right") - 1, self.owner[mine]
-        pair = doc * len(self.items) + item
-        order = np.lexsort((at - self.place[mine], pair))
-        pair, shift = pair[order], (at - self.place[mine])[order]
-        cuts = np.flatnonzero(np.diff(pair)) + 1
-        for block in np.split(np.arange(len(pair)), cuts):
-            if len(block) < 2:
-                continue
-            d, k = divmod(int(pair[block[0]]), len(self.items))
+        for d, k in self._likely(line, first):
             if (d, k) in found:
                 continue
-            item_words = self.items[k]
-            n, least = len(item_words), -(-len(item_words) * self.share // 1)
-            lo, hi = int(first[d]), int(first[d + 1]) - 1 if d + 1 < len(first) else len(line) - 1
-            best, last = 0, None
-            for s in shift[block]:
-                s = int(s)
-                if last is not None and s - last < max(2, n // 10):
-                    continue
-                last = s
-                a = max(lo, s - n // 8)
-                window = line[a : min(hi, a + int(n * STRETCH))]
-                if np.count_nonzero(self.member[k][window]) < least:
-                    continue  # too few of its words are the item's at all
-                best = max(best, common(item_words, window.tolist()))
-                if best >= least:
-                    break
-            if best >= least:
-                yield d, self.ids[k], 0, best / n
+            hi = int(first[d + 1]) - 1 if d + 1 < len(first) else len(line) - 1
+            best = self._in_order(k, line[int(first[d]) : hi])
+            if best >= self.least[k]:
+                yield d, self.ids[k], 0, best / len(self.items[k])
+
+    def _likely(self, line: np.ndarray, first: np.ndarray) -> list[tuple[int, int]]:
+        """(text number, item number) of all pairs that may hold a damaged copy, by the words of each item that are rarest in the shard."""
+        often = np.bincount(line, minlength=len(self.vocab) + 1)
+        word, item, times, need = [], [], [], np.zeros(len(self.items), np.int64)
+        for k, ws in enumerate(self.items):
+            if not ws:
+                continue
+            miss = len(ws) - self.least[k]
+            rare = sorted(ws, key=lambda w: (often[w], w))[: miss + max(1, len(ws) // 3)]
+            need[k] = len(rare) - miss
+            for w, n in Counter(rare).items():
+                word.append(w)
+                item.append(k)
+                times.append(n)
+        if not word:
+            return []
+        word, item, times = np.array(word), np.array(item), np.array(times)
+        order = np.argsort(word, kind="stable")
+        word, item, times = word[order], item[order], times[order]
+        wanted = np.zeros(len(self.vocab) + 1, bool)
+        wanted[word] = True
+        at = np.flatnonzero(wanted[line])
+        doc = np.searchsorted(first, at, "right") - 1
+        pair = np.unique(doc * (len(self.vocab) + 1) + line[at])
+        doc, held = pair // (len(self.vocab) + 1), pair % (len(self.vocab) + 1)
+        lo, hi = np.searchsorted(word, held, "left"), np.searchsorted(word, held, "right")
+        n = hi - lo
+        post = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else lo, n) + np.arange(n.sum())
+        both, where = np.unique(np.repeat(doc, n) * len(self.items) + item[post], return_inverse=True)
+        got = np.bincount(where, times[post], minlength=len(both))
+        return [divmod(int(x), len(self.items)) for x in both[got >= need[both % len(self.items)]]]
+
+    def _in_order(self, k: int, text: np.ndarray) -> int:
+        """Most words of the item found in order in a passage of about its length; exact if it reaches the limit, else at most the true number."""
+        item, least = self.items[k], self.least[k]
+        width = int(len(item) * STRETCH)
+        mine = np.isin(text, self.member[k])
+        upto = np.concatenate([[0], np.cumsum(mine)])
+        starts = np.flatnonzero(mine)
+        starts = starts[upto[np.minimum(starts + width, len(text))] - upto[starts] >= least]
+        best, free = 0, 0
+        for a in starts.tolist():
+            if a < free:
+                continue
+            n = common(item, text[a : a + width].tolist())
+            best = max(best, n)
+            free = a + max(1, least - n)
+        return best
 
 
 def index(items: DataFrame, item_id: str, text: str) -> Index:

@@ -49,3 +49,32 @@ def test_against_brute_force(spark):
 def test_words():
     assert leaks.words_of("Độ rung <b>65,07</b>&nbsp;- ĐIỆN trở") == ["do", "rung", "6507", "dien", "tro"]
     assert leaks.common([1, 2, 3, 4], [1, 9, 3, 4]) == 3 and leaks.common([], [1]) == 0
+
+
+def test_damaged_copies_against_brute_force(spark):
+    """Items of 1 to 40 words, copies with words lost, changed and put in; every passage is tried in the brute-force version."""
+    r = random.Random(4)
+    vocab = [f"v{i}" for i in range(25)]
+    items = [(i, " ".join(r.choices(vocab, k=n))) for i, n in enumerate([1, 2, 4, 5, 5, 7, 10, 11, 20, 40])]
+    docs = [(900, "x alpha beta zzz delta epsilon y"), (901, "<p " + "a" * 900 + ">v1</p>")]
+    for d in range(150):
+        ws = []
+        for w in items[d % 10][1].split():
+            if r.random() > 0.12:
+                ws.append(w if r.random() > 0.1 else "other")
+            if r.random() < 0.15:
+                ws.append(r.choice([*vocab, "noise"]))
+        docs.append((d, " ".join(r.choices([*vocab, "lạ"], k=r.randrange(8)) + ws + r.choices(vocab, k=r.randrange(8)))))
+    items.append((77, "alpha beta gamma delta epsilon"))
+    index = leaks.Index(items)
+    got = {(x.doc_id, x.test_id): x.share for x in leaks.leaks(spark.createDataFrame(docs, "doc_id long, text string"), "doc_id", "text", index).collect()}
+    told = {}
+    for d, t in docs:
+        a = leaks.words_of(t)
+        for k, item in items:
+            b = leaks.words_of(item)
+            n = len(b)
+            best = max((leaks.common(b, a[i : i + int(n * leaks.STRETCH)]) for i in range(len(a))), default=0)
+            if best >= -(-n * leaks.SHARE // 1) or n >= 12 and run(None, a, b) >= 12:
+                told[d, k] = best / n
+    assert set(got) == set(told) and (900, 77) in got and len(told) > 100
