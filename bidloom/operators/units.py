@@ -15,18 +15,20 @@ result, and with fewer than ``LEAST_LABELLED`` labelled rows everything unnamed
 from __future__ import annotations
 
 import re
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidloom.functions.fold import bare, plain
+from bidloom.functions.worker import bounded
 
 #: Labelled rows the classifier is fitted on, at most; taken by hash of the row id.
 SAMPLE = 20_000
 LEAST_LABELLED = 200
 CONFIDENT = 0.9
+#: Slots that sources and words of names are hashed into.
+SLOTS = 2048
 # Spellings of units, without accents unless they matter, and how many millionths of the common unit each holds.
 LENGTH = {"m": 10**6, "met": 10**6, "meter": 10**6, "metre": 10**6, "md": 10**6, "m dai": 10**6, "met dai": 10**6, "mdai": 10**6, "lm": 10**6, "rm": 10**6, "dm": 10**5, "cm": 10**4, "mm": 10**3, "km": 10**9, "kilomet": 10**9, "kilometer": 10**9, "kilometre": 10**9, "cay so": 10**9,
           "inch": 25_400, "inches": 25_400, "in": 25_400, "ft": 304_800, "feet": 304_800, "foot": 304_800, "yard": 914_400, "yd": 914_400, "phan": 10**4, "centimet": 10**4, "milimet": 10**3, "decimet": 10**5}
@@ -52,7 +54,7 @@ def _number(text: str) -> float:
     return float(text.replace(",", "."))
 
 
-@lru_cache(50_000)
+@bounded
 def parse_unit(text: str | None) -> tuple[str, int, bool] | None:
     """(kind, millionths of the common unit, whether it is a mere spelling of the common unit); kind 'none' for things not measured; None if unknown."""
     if not text or not text.strip(" -."):
@@ -82,7 +84,7 @@ def parse_unit(text: str | None) -> tuple[str, int, bool] | None:
     return None
 
 
-@lru_cache(50_000)
+@bounded
 def stated_unit(text: str | None) -> tuple[str, int, bool] | None:
     """The unit that a text names with words such as "ĐVT:" or "unit:"; the longest reading wins."""
     if not text:
@@ -134,44 +136,76 @@ def _features(df: DataFrame, cols: dict[str, Column]) -> DataFrame:
     return df.select("*", log(cols["quantity"]).alias("__q"), log(cols["price"]).alias("__p"), F.coalesce(cols["source"], F.lit("")).alias("__src"), *[F.coalesce(F.get(words, F.lit(i)), F.lit("")).alias(f"__w{i}") for i in range(3)], F.coalesce(cols["name"].rlike(r"\d[\d.,]*\s*[x×*]\s*\d"), F.lit(False)).cast("double").alias("__dims"))
 
 
-def predict_units(df: DataFrame, key: str, cols: dict[str, Column], confident: float = CONFIDENT) -> DataFrame:
-    """Adds ``predicted_kind``, ``predicted_factor``, ``confidence`` and ``route`` ('known', 'convert', 'review') to the output of ``read_units``.
+class Predictor:
+    """A fitted forest with its calibration, and the held-out rows (label, guess, calibrated confidence) that it was calibrated on."""
+
+    def __init__(self, model, calibrated, held: DataFrame):
+        self.model, self.calibrated, self.held = model, calibrated, held
+
+    def guesses(self, rows: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import vector_to_array
+
+        return self.calibrated.transform(self.model.transform(rows.withColumn("__label", F.lit("rare|0"))).withColumn("p", F.array_max(vector_to_array(F.col("__prob")))))
+
 
-    The forest learns from at most ``SAMPLE`` labelled rows; every row without a told unit is predicted."""
+def fit_units(rows: DataFrame, key: str) -> Predictor | None:
+    """The forest of at most ``SAMPLE`` labelled rows of ``_features``' output, four fifths for the trees and one for the calibration; None for too few."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import FeatureHasher, IndexToString, StringIndexer, VectorAssembler
     from pyspark.ml.functions import vector_to_array
     from pyspark.ml.regression import IsotonicRegression
 
-    rows = _features(df, cols)
     label = F.when(F.col("kind") == "none", "none|0").otherwise(F.concat_ws("|", "kind", F.col("factor_micro").cast("string")))
     known = rows.filter(F.col("told_by").isNotNull()).withColumn("__label", label)
     hashed = F.xxhash64(F.col(key).cast("string"))
     columns = [c for c in known.columns if c.startswith("__")]
     share = known.select(F.count("*")).first()[0]
-    plainly = df.withColumns({"predicted_kind": F.lit(None).cast("string"), "predicted_factor": F.lit(None).cast("long"), "confidence": F.lit(None).cast("double"), "route": F.when(F.col("told_by").isNotNull(), "known").otherwise("review")})
     if share < LEAST_LABELLED:
-        return plainly
+        return None
     cut = min(1.0, SAMPLE / share)
-    sample = known.filter(F.pmod(hashed, F.lit(1_000_000)) < int(cut * 1_000_000)).select(*columns, F.pmod(F.xxhash64(hashed), F.lit(5)).alias("__fold"))
-    tmp = sample.toPandas()
-    spark = df.sparkSession
+    tmp = known.filter(F.pmod(hashed, F.lit(1_000_000)) < int(cut * 1_000_000)).select(*columns, F.pmod(F.xxhash64(hashed), F.lit(5)).alias("__fold")).toPandas()
+    spark = rows.sparkSession
     common = tmp["__label"].value_counts()
     tmp.loc[~tmp["__label"].isin(common[common >= 10].index), "__label"] = "rare|0"
     fit, held = spark.createDataFrame(tmp[tmp["__fold"] > 0]).coalesce(2), spark.createDataFrame(tmp[tmp["__fold"] == 0]).coalesce(2)
-    words = ["__src", "__w0", "__w1", "__w2"]
     indexer = StringIndexer(inputCol="__label", outputCol="__y", handleInvalid="keep").fit(fit)
     model = Pipeline(stages=[
-        FeatureHasher(inputCols=words, outputCol="__h", numFeatures=256), VectorAssembler(inputCols=["__h", "__q", "__p", "__dims"], outputCol="__x"), indexer,
+        FeatureHasher(inputCols=["__src", "__w0", "__w1", "__w2"], outputCol="__h", numFeatures=SLOTS), VectorAssembler(inputCols=["__h", "__q", "__p", "__dims"], outputCol="__x"), indexer,
         RandomForestClassifier(featuresCol="__x", labelCol="__y", numTrees=20, maxDepth=10, seed=7, subsamplingRate=0.8, probabilityCol="__prob", rawPredictionCol="__raw", predictionCol="__pred"),
         IndexToString(inputCol="__pred", outputCol="__guess", labels=[*indexer.labels, "rare|0"]),
     ]).fit(fit)
-    top = F.array_max(vector_to_array(F.col("__prob")))
-    scored = model.transform(held).select(top.alias("p"), (F.col("__guess") == F.col("__label")).cast("double").alias("hit"))
+    scored = model.transform(held).select(F.array_max(vector_to_array(F.col("__prob"))).alias("p"), "__label", "__guess", (F.col("__guess") == F.col("__label")).cast("double").alias("hit"))
     calibrated = IsotonicRegression(featuresCol="p", labelCol="hit", predictionCol="c").fit(scored)
-    missing = rows.filter(F.col("told_by").isNull()).withColumn("__label", F.lit("rare|0"))
-    guessed = calibrated.transform(model.transform(missing).withColumn("p", top))
+    return Predictor(model, calibrated, scored)
+
+
+def masked_accuracy(df: DataFrame, key: str, cols: dict[str, Column], confident: float = CONFIDENT) -> dict[str, float]:
+    """How the forest does on rows whose known unit is hidden from it and from the calibration: rows, share converted, share of right ones among them.
+
+    Rows are split by hash: the classifier sees ``read_units``' rows of one half, the other half is predicted."""
+    rows = _features(df, cols).filter(F.col("told_by").isNotNull())
+    half = F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("masked")), F.lit(2))
+    fitted = fit_units(rows.filter(half == 0), key)
+    if fitted is None:
+        return {"rows": 0, "converted": 0.0, "right": 0.0}
+    told = F.when(F.col("kind") == "none", "none|0").otherwise(F.concat_ws("|", "kind", F.col("factor_micro").cast("string")))
+    got = fitted.guesses(rows.filter(half == 1).withColumn("__told", told)).select(((F.col("c") >= confident) & (F.col("__guess") != "rare|0")).alias("sure"), (F.col("__guess") == F.col("__told")).alias("hit"))
+    n, sure, right = got.agg(F.count("*"), F.count_if("sure"), F.count_if(F.col("sure") & F.col("hit"))).first()
+    return {"rows": n, "converted": sure / max(n, 1), "right": right / max(sure, 1)}
+
+
+def predict_units(df: DataFrame, key: str, cols: dict[str, Column], confident: float = CONFIDENT) -> DataFrame:
+    """Adds ``predicted_kind``, ``predicted_factor``, ``confidence`` and ``route`` ('known', 'convert', 'review') to the output of ``read_units``.
+
+    The forest learns from at most ``SAMPLE`` labelled rows; every row without a told unit is predicted. The input is read several
+    times, so it should be cut from its lineage."""
+    rows = _features(df, cols)
+    plainly = df.withColumns({"predicted_kind": F.lit(None).cast("string"), "predicted_factor": F.lit(None).cast("long"), "confidence": F.lit(None).cast("double"), "route": F.when(F.col("told_by").isNotNull(), "known").otherwise("review")})
+    fitted = fit_units(rows, key)
+    if fitted is None:
+        return plainly
+    guessed = fitted.guesses(rows.filter(F.col("told_by").isNull()))
     part = F.split("__guess", r"\|")
     sure = (F.col("c") >= confident) & (part[0] != "rare")
     out = guessed.select(*df.columns, part[0].alias("predicted_kind"), F.when(part[0].isin("none", "rare"), None).otherwise(part[1].cast("long")).alias("predicted_factor"), F.col("c").alias("confidence"), F.when(sure, "convert").otherwise("review").alias("route"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bidloom.functions.lineage import written
 from bidloom.operators import packed, units
 from bidloom.plans.registry import query, read
 
@@ -16,12 +17,12 @@ def common_unit(kind: F.Column) -> F.Column:
 
 
 def measured(spark: SparkSession, d: str) -> DataFrame:
-    """Quantities and prices of both tables with the unit that each row tells, in one schema."""
+    """Quantities and prices of both tables with the unit that each row tells, in one schema; texts are read once."""
     items = read(spark, d, "item_records").filter("bid_quantity is not null").select(
         F.lit("item_records").alias("src"), F.col("item_id").cast("string").alias("row_id"), "unit", F.col("item_name").alias("name"), "note", F.col("bid_quantity").alias("quantity"), F.col("unit_price_total").alias("price"), F.col("source_id").alias("source")
     )
     prices = read(spark, d, "price_references").select(F.lit("price_references"), "ref_id", "unit", "description", F.lit(None).cast("string"), F.lit(None).cast("double"), "price", "source")
-    return units.read_units(items.union(prices), "unit", "name", "note")
+    return written(units.read_units(items.union(prices), "unit", "name", "note").drop("note"))
 
 
 @query()

@@ -52,3 +52,14 @@ def test_clashing_names(spark):
     df = spark.createDataFrame([("a", "cuộn 100m", None, None, 1.0, None, None, "old", -1)], SCHEMA + ", kind string, factor_micro int")
     r = read_units(df, "unit", "name", "note").first()
     assert (r.kind, r.factor_micro, r.told_by) == ("length", 10**8, "unit")
+
+
+def test_masked_accuracy(spark):
+    """Units hidden from a forest that can tell them by the name come back right."""
+    from bidloom.operators import units
+
+    rows = [(f"r{i}", ("cáp điện ruột đồng", "m", "sơn nước", "lít", "thép hình", "kg")[2 * (i % 3)], ("m", "lit", "kg")[i % 3], float(10 ** (i % 3)) + i % 7, "s") for i in range(900)]
+    df = units.read_units(spark.createDataFrame(rows, "id string, name string, unit string, q double, src string"), "unit", "name")
+    got = units.masked_accuracy(df, "id", {"quantity": F.col("q"), "price": F.lit(None).cast("double"), "source": F.col("src"), "name": F.col("name")})
+    assert got["rows"] > 300 and got["converted"] > 0.9 and got["right"] > 0.95
+    assert units.masked_accuracy(df.limit(50), "id", {"quantity": F.col("q"), "price": F.lit(None).cast("double"), "source": F.col("src"), "name": F.col("name")})["rows"] == 0
