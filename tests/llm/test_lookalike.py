@@ -23,3 +23,12 @@ def test_rows(spark):
     g = lookalike.look_alikes(df.filter("id < 6"), "t").collect()
     assert [(r.unified, r.spellings, r.n) for r in g] == [("bộ", 3, 4)]
     assert lookalike.disguised(df.limit(0), "t").count() == 0
+
+
+def test_full_table(spark):
+    looks = lookalike.Looks(lookalike.confusables(spark))
+    for text, told in (("Ϲable", "Cable"), ("ᴄable", "cable"), ("Ꮯable", "Cable"), ("ⲟpen", "open"), ("Cаble", "Cable"), ("Щит учёта", "Щит учёта"), ("кВт", "кВт"), ("ВЕТОН", "BETOH"), ("β-ray", "β-ray"), ("Đ Ð", "Đ Đ"), ("m²³×Ø°±®©–“”", "m²³×Ø°±®©–“”"), ("Việt Nam çã", "Việt Nam çã"), ("漢字", "漢字")):
+        assert looks.unified(text) == told and looks.unified(told) == told and looks.skeleton(text) == looks.skeleton(told)
+    df = spark.createDataFrame([(1, "Ϲable"), (2, "Ꮯable"), (3, "Cable"), (4, "Cable x")], "id int, t string")
+    assert sorted(r.id for r in lookalike.disguised(df, "t").collect()) == [1, 2]
+    assert [(r.unified, r.spellings) for r in lookalike.look_alikes(df, "t").collect()] == [("Cable", 3)]
