@@ -32,6 +32,14 @@ def before_long_gap(df: DataFrame, by: Sequence[str], at: str, blank: Column, mo
     return s.withColumn("__stop", stop).filter((F.col("__stop").isNull() | (F.col(at) < F.col("__stop"))) & (F.col("__s") == 0)).drop("__s", "__stop")
 
 
+def before_number_gap(df: DataFrame, by: Sequence[str], at: str, most: int = 250) -> DataFrame:
+    """The rows before the first gap of more than ``most`` numbers in ``at``, for rows whose blank ones are gone already."""
+    gap = F.col(at) - F.coalesce(F.lag(at).over(Window.partitionBy(*by).orderBy(at)), F.col("__start")) - 1
+    s = df.withColumn("__start", F.min(at).over(Window.partitionBy(*by)) - 1).withColumn("__gap", gap)
+    stop = F.min(F.when(F.col("__gap") > most, F.col(at))).over(Window.partitionBy(*by))
+    return s.withColumn("__stop", stop).filter(F.col("__stop").isNull() | (F.col(at) < F.col("__stop"))).drop("__start", "__gap", "__stop")
+
+
 def section_path(df: DataFrame, by: Sequence[str], at: str, level: Column, title: Column, levels: int = 6, name: str = "path") -> DataFrame:
     """The titles of the open sections at each row. A heading of level L closes all of level L and deeper.
 

@@ -93,10 +93,17 @@ def price_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     )
 
 
+#: Sellers that a plan may name; more raise an error.
+MOST_SELLERS = 10_000
+
+
 def completion(clusters: DataFrame, cluster: str, seller: str, sellers: DataFrame) -> DataFrame:
-    """A row for every cluster and seller; ``present`` tells whether the seller is in it. ``sellers`` must be a checked short list."""
+    """A row for every cluster and seller; ``present`` tells whether the seller is in it. Raises ValueError for more than ``MOST_SELLERS`` sellers."""
     have = clusters.select(cluster, seller).distinct().withColumn("present", F.lit(True))
-    every = have.select(cluster).distinct().withColumn(seller, F.explode(F.lit([r[0] for r in sellers.select(seller).distinct().orderBy(seller).limit(10_000).collect()])))
+    names = [r[0] for r in sellers.select(seller).distinct().orderBy(seller).limit(MOST_SELLERS + 1).collect()]
+    if len(names) > MOST_SELLERS:
+        raise ValueError(f"more than {MOST_SELLERS} sellers can't be completed")
+    every = have.select(cluster).distinct().withColumn(seller, F.explode(F.array(*[F.lit(n) for n in names]) if names else F.array().cast(f"array<{dict(sellers.dtypes)[seller]}>")))
     return every.join(have, [cluster, seller], "left").withColumn("present", F.coalesce("present", F.lit(False)))
 
 

@@ -14,10 +14,10 @@ from bidloom.functions.fold import words
 from bidloom.operators.peers import top_per_group
 
 
-def lookup(queries: DataFrame, references: DataFrame, query_id: str, ref_id: str, name: str = "description", unit: str = "unit", k: int = 5, least: float = 0.2) -> DataFrame:
-    """For each query the ``k`` references of the same unit with the most similar text: (query_id, ref_id, similarity, place).
+def lookup(queries: DataFrame, references: DataFrame, query_id: str, ref_id: str, name: str = "description", unit: str = "unit", k: int = 5, least: float = 0.0) -> DataFrame:
+    """For each query the ``k`` references of the same unit with the most similar text, itself aside: (query_id, ref_id, similarity, place).
 
-    Words weigh their inverse frequency among the references. Pairs come from an equi-join on (unit, word) with partial sums."""
+    References that share no word aren't similar at all; ``least`` raises that. Words weigh their inverse frequency among the references. Pairs come from an equi-join on (unit, word) with partial sums."""
     prep = lambda d, key: d.select(F.col(key), text.normalize_unit(F.col(unit)).alias("u"), F.explode(text.token_set(F.col(name))).alias("word"))
     refs, asked = prep(references, ref_id), prep(queries, query_id)
     n = references.select(F.count("*").alias("n"))
@@ -27,7 +27,7 @@ def lookup(queries: DataFrame, references: DataFrame, query_id: str, ref_id: str
     qw = asked.join(idf, "word", "left").crossJoin(unknown).select(query_id, "u", "word", F.coalesce("idf", "new").alias("idf"))
     norm = lambda d, key, out: d.groupBy(key).agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias(out))
     dots = qw.select(query_id, "u", "word", F.col("idf").alias("qi")).join(rw, ["u", "word"]).groupBy(query_id, ref_id).agg(F.sum(F.col("qi") * F.col("idf")).alias("dot"))
-    scored = dots.join(norm(qw, query_id, "qn"), query_id).join(norm(rw, ref_id, "rn"), ref_id).withColumn("similarity", F.col("dot") / (F.col("qn") * F.col("rn"))).filter(F.col("similarity") >= least)
+    scored = dots.join(norm(qw, query_id, "qn"), query_id).join(norm(rw, ref_id, "rn"), ref_id).withColumn("similarity", F.col("dot") / (F.col("qn") * F.col("rn"))).filter((F.col("similarity") >= least) & (F.col(query_id) != F.col(ref_id)))
     return top_per_group(scored, [query_id], k, F.desc(F.floor(F.col("similarity") * 1e9)), F.col(ref_id)).select(query_id, ref_id, "similarity", "place")
 
 
@@ -71,7 +71,8 @@ class Requirements:
         both = np.maximum(letters - 1, 0)
         token_set = np.where((shared > 0) & ((shared == len(mine)) | (shared == self.words)), 1.0, np.maximum(plain, np.maximum(2 * both / (both + n), 2 * both / (both + self.length))))
         share = np.maximum(n, self.length) / np.maximum(np.minimum(n, self.length), 1)
-        weighted = np.where(share < 1.5, np.maximum(plain, 0.95 * token_set), np.maximum(plain, np.where(share < 8, 0.9, 0.6) * part))
+        tokens = 0.95 * np.where(shared > 0, 1.0, part)
+        weighted = np.where(share < 1.5, np.maximum(plain, 0.95 * np.maximum(token_set, plain)), np.maximum(plain, np.where(share <= 8, 0.9, 0.6) * np.maximum(part, tokens)))
         return 0.72 * (0.35 * weighted + 0.35 * token_set + 0.30 * part) + 0.28 * overlap, overlap
 
     def best(self, x: str) -> tuple[object, float] | None:

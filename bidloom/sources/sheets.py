@@ -82,6 +82,6 @@ def line_items(rows: DataFrame, blanks: int = 250) -> DataFrame:
     items = body.select(*SHEET, "row_number", *[(number.parse_number(value(f)) if f in NUMERIC else value(f)).alias(f) for f in FIELDS])
     kind = ordered.row_kind(F.col("item_name"), F.col("stt"), F.col("unit"), *[F.col(f) for f in NUMERIC])
     items = items.withColumn("row_type", kind).filter(F.coalesce("item_name", "item_code", "stt").isNotNull())
-    items = ordered.before_long_gap(items, SHEET, "row_number", F.coalesce("item_name", "item_code").isNull(), blanks)
+    items = ordered.before_number_gap(items.filter(F.coalesce("item_name", "item_code").isNotNull()), SHEET, "row_number", blanks)
     level = F.when(F.col("row_type") == "group", F.when(F.col("stt").rlike("^[A-Za-z]$"), 0).when(F.col("stt").rlike("^[IVXLC]+$"), 1).when(F.col("stt").rlike(r"^\d+(\.\d+)*$"), F.least(F.size(F.split("stt", r"\.")) + 1, F.lit(5))).otherwise(3))
     return ordered.section_path(items, SHEET, "row_number", level, F.col("item_name"))

@@ -88,7 +88,7 @@ def test_legend(spark):
 def test_hot_keys_match_in_order(spark):
     left = spark.createDataFrame([(i, "hot", i % 5) for i in range(400)] + [(1000, "cold", 1), (1001, None, 2), (1002, "", 3)], "a long, k string, x int")
     right = spark.createDataFrame([(i, "hot") for i in range(250)] + [(2000, "cold"), (2001, "cold"), (2002, None), (2003, "")], "b long, k string")
-    got = matching.match_by_keys(left, right, "a", "b", ["k"], F.lit(1.0), most=20).collect()
+    got = matching.match_by_keys(left, right, "a", "b", ["k"], F.lit(1.0)).collect()
     assert len(got) == 251 and len({r.a for r in got}) == 251 and len({r.b for r in got}) == 251
     assert [r.b for r in got if r.a == 1000] == [2000]
     n = matching.numbered(left.filter("k = 'hot'"), ["k"], "a").select("at").collect()
@@ -118,3 +118,36 @@ def test_large_keys_match_by_score(spark):
     assert len(few) == len({r.b for r in few}) == 45 and all(r.a % 10 == 9 - r.b % 10 for r in few)
     uneven = matching.match_by_keys(left.filter("x = 3 and a < 30 or x = 5"), right.filter("y = 3 or y = 4 and b < 30"), "a", "b", ["k"], 1 - F.abs(F.col("x") - F.col("y")) / 100).collect()
     assert sorted(round(r.score, 2) for r in uneven) == [0.98] * 37 + [0.99] * 3 + [1.0] * 3
+
+
+def test_one_to_one_with_ties(spark):
+    """Ties of a whole key end in a few rounds; the result is that of the sequential rule."""
+    rows = [(a, 100 + b, 0.0) for a in range(40) for b in range(40)] + [(a, 200 + b, 1.0) for a in range(50, 55) for b in range(3)] + [(60, 300, 0.0), (60, 301, 0.0), (61, 301, 0.0), (62, 302, 2.0), (None, 303, 0.0)]
+    got = sorted((r.a, r.b) for r in matching.assign_one_to_one(spark.createDataFrame(rows, "a long, b long, o double"), "a", "b", ["o"]).collect())
+    told, lefts, rights = [], set(), set()
+    for o, a, b in sorted((o, a, b) for a, b, o in rows if a is not None):
+        if a not in lefts and b not in rights:
+            told.append((a, b))
+            lefts.add(a)
+            rights.add(b)
+    assert got == sorted(told) and len(told) == 40 + 3 + 2 + 1
+
+
+def test_too_many_sellers(spark):
+    import pytest
+
+    from bidloom.operators import peers
+
+    have = spark.createDataFrame([(1, 5)], "cluster long, seller long")
+    with pytest.raises(ValueError):
+        peers.completion(have, "cluster", "seller", spark.range(peers.MOST_SELLERS + 1).withColumnRenamed("id", "seller"))
+    assert peers.completion(have, "cluster", "seller", have.select("seller").limit(0)).count() == 0
+
+
+def test_rows_after_a_long_gap_go(spark):
+    from bidloom.operators import ordered
+
+    df = spark.createDataFrame([("s", i) for i in (10, 11, 12, 300, 301)] + [("t", 5), ("t", 255), ("u", 1), ("u", 253)], "sheet string, row_number int")
+    got = [(r.sheet, r.row_number) for r in ordered.before_number_gap(df, ["sheet"], "row_number", 250).collect()]
+    assert sorted(got) == [("s", 10), ("s", 11), ("s", 12), ("t", 5), ("t", 255), ("u", 1)]
+    assert len(ordered.before_number_gap(df, ["sheet"], "row_number", 287).collect()) == 9
