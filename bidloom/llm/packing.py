@@ -14,6 +14,7 @@ a text of exactly the capacity fills a container alone; an empty table gives an
 from __future__ import annotations
 
 import base64
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,8 +28,10 @@ from pyspark.sql.window import Window
 CAPACITY = 2048
 SALTS = 64
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-#: Text is encoded in stretches of this many characters at most, cut at blanks, so that very long texts need little memory.
+#: Long texts are encoded in stretches of about this many characters, so that they need little memory. They are cut where the tokenizer
+#: itself always cuts, before a single blank between two letters, however far that is; so the counts are those of the whole text.
 STRETCH = 200_000
+CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 
 
 @lru_cache(2)
@@ -58,8 +61,9 @@ def token_counts(documents: DataFrame, key: str, text: str, path: str | None = N
         enc, n, at = encoder(path), 0, 0
         while at < len(t):
             end = at + STRETCH
-            if end < len(t) and (cut := t.rfind(" ", at + 1, end)) > at:
-                end = cut
+            if end < len(t):
+                m = CUT.search(t, end)
+                end = m.start() if m else len(t)
             n += len(enc.encode_ordinary(t[at:end].encode("utf-8", "replace").decode()))
             at = end
         return n

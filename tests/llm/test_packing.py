@@ -46,3 +46,14 @@ def test_tokens(spark):
     df = spark.createDataFrame([(1, "Khối lượng bu lông neo"), (2, None), (3, ""), (4, "a " * 300000)], "doc_id long, text string")
     got = {r.doc_id: r.n_tokens for r in packing.token_counts(df, "doc_id", "text").collect()}
     assert set(got) == {1, 4} and 5 <= got[1] <= 25 and got[4] >= 250000
+
+
+def test_stretches_count_as_the_whole(spark):
+    """Very long texts, with and without blanks near the cuts, have the tokens of the whole text."""
+    import random
+
+    r = random.Random(3)
+    path = packing.vocabulary_path()
+    texts = [" ".join(r.choice(["cáp", "điện  đôi", "pump,", "12.5", "the", "\n\nvan", "x" * 90]) for _ in range(60_000)), "12 34. " * 60_000, "no blank between letters 1 " + "7 8 " * 100_000 + "then some words"]
+    got = {x.k: x.n_tokens for x in packing.token_counts(spark.createDataFrame(list(enumerate(texts)), "k long, t string"), "k", "t").collect()}
+    assert got == {i: len(packing.encoder(path).encode_ordinary(t)) for i, t in enumerate(texts)} and min(map(len, texts)) > packing.STRETCH
