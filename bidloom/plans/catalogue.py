@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bidloom.plans import data_queries, engine_queries, more_queries
+from bidloom.plans import data_queries, engine_queries, flag_queries, more_queries
 from bidloom.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "data_queries", "engine_queries", "more_queries"]
+__all__ = ["ORACLES", "QUERIES", "data_queries", "engine_queries", "flag_queries", "more_queries"]

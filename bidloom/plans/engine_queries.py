@@ -51,13 +51,20 @@ def robust_z(spark: SparkSession, d: str) -> DataFrame:
     return z.select("item", "seller", r4("middle").alias("middle"), r4("mad").alias("mad"), r4("z").alias("z"))
 
 
-@query(f"""WITH {QUOTES}, c AS (SELECT item, seller, max(price) AS v FROM quotes WHERE seller IN (1, 2, 3, 4, 5) GROUP BY item, seller)
-SELECT item, {', '.join(f"{sql4(f'max(CASE WHEN seller = {i} THEN v END)')} AS s{i}" for i in range(1, 6))},
+@query(f"""WITH {QUOTES}, c AS (SELECT item, s_nationkey AS seller, max(price) AS v FROM quotes JOIN supplier ON seller = s_suppkey GROUP BY item, s_nationkey)
+SELECT item, {', '.join(f"{sql4(f'max(CASE WHEN seller = {i} THEN v END)')} AS s{i}" for i in range(25))},
   {sql4('min(v)')} AS least, {sql4('median(v)')} AS middle, {sql4('max(v)')} AS most,
   {sql4('CASE WHEN (abs(max(v)) + abs(min(v))) / 2 = 0 THEN 0 ELSE (max(v) - min(v)) / ((abs(max(v)) + abs(min(v))) / 2) END')} AS spread FROM c GROUP BY item""")
 def price_matrix(spark: SparkSession, d: str) -> DataFrame:
-    m = peers.matrix(quotes(spark, d), ["item"], "seller", "price", [1, 2, 3, 4, 5])
-    return m.select("item", *[r4(F.col(str(i))).alias(f"s{i}") for i in range(1, 6)], *[r4(c).alias(c) for c in ("least", "middle", "most", "spread")])
+    """Every part's prices by the nation of the supplier, side by side; there are 25 nations at any size."""
+    m = peers.matrix(national_quotes(spark, d), ["item"], "seller", "price", list(range(25)))
+    return m.select("item", *[r4(F.col(str(i))).alias(f"s{i}") for i in range(25)], *[r4(c).alias(c) for c in ("least", "middle", "most", "spread")])
+
+
+def national_quotes(spark: SparkSession, d: str) -> DataFrame:
+    """Quotes with the supplier's nation as the seller."""
+    nation = read(spark, d, "supplier").select(F.col("s_suppkey").alias("seller"), F.col("s_nationkey").alias("nation"))
+    return quotes(spark, d).join(nation, "seller").select("item", F.col("nation").alias("seller"), "price")
 
 
 @query(f"""WITH {QUOTES}, s AS (SELECT item, median(price) AS middle, count(price) AS offers FROM quotes GROUP BY item)
@@ -179,9 +186,12 @@ def parse_number(spark: SparkSession, d: str) -> DataFrame:
 FOLD = "replace(strip_accents(lower({})), 'đ', 'd')"
 
 
-@query(f"""SELECT doc_id, len(list_distinct(w)) AS words, md5(array_to_string(w, ' ')) AS folded FROM (SELECT doc_id, list_filter(string_split(trim(regexp_replace({FOLD.format('text')}, '[^0-9a-z]+', ' ', 'g')), ' '), lambda x: x <> '' AND x NOT IN ({', '.join(repr(w) for w in text.STOPWORDS)})) AS w FROM documents WHERE text IS NOT NULL AND text NOT LIKE '%²%' AND text NOT LIKE '%³%' AND text NOT LIKE '%ø%' AND text NOT LIKE '%×%')""")
+PLAIN = "replace(replace(replace(replace(replace(replace(lower(text), '²', '2'), '³', '3'), '×', 'x'), 'ø', ' phi '), '^2', '2'), '^3', '3')"
+
+
+@query(f"""SELECT doc_id, len(list_distinct(w)) AS words, md5(array_to_string(w, ' ')) AS folded FROM (SELECT doc_id, list_filter(string_split(trim(regexp_replace({FOLD.format(PLAIN)}, '[^0-9a-z]+', ' ', 'g')), ' '), lambda x: x <> '' AND x NOT IN ({', '.join(repr(w) for w in text.STOPWORDS)})) AS w FROM documents WHERE text IS NOT NULL)""")
 def folded_text(spark: SparkSession, d: str) -> DataFrame:
-    """Whole documents normalised to words without accents and stopwords. The SQL leaves out texts with characters that it can't fold; this doesn't."""
+    """Whole documents normalised to words without accents and stopwords."""
     rows = read(spark, d, "documents").filter("text is not null")
     return rows.select("doc_id", F.size(text.token_set(F.col("text"))).cast("long").alias("words"), F.md5(text.normalize_name(F.col("text"))).alias("folded"))
 
@@ -294,12 +304,12 @@ def nearest_texts(rows: DataFrame) -> DataFrame:
     return hits.filter("query_id <> ref_id").select("query_id", "ref_id", r4("similarity").alias("similarity"))
 
 
-@query(f"""WITH q AS ({QUOTES.strip()[len('quotes AS ('):-1]}), s AS (SELECT DISTINCT seller FROM q WHERE item % 97 = 0), c AS (SELECT DISTINCT item, seller FROM q)
-SELECT i.item AS cluster, s_suppkey AS seller, c.item IS NOT NULL AS present FROM (SELECT DISTINCT item FROM q) i CROSS JOIN (SELECT s_suppkey FROM supplier WHERE s_nationkey = 1) LEFT JOIN c ON c.item = i.item AND c.seller = s_suppkey""")
+@query(f"""WITH {QUOTES}, c AS (SELECT DISTINCT item, s_nationkey AS seller FROM quotes JOIN supplier ON seller = s_suppkey)
+SELECT i.item AS cluster, n_nationkey AS seller, c.item IS NOT NULL AS present FROM (SELECT DISTINCT item FROM c) i CROSS JOIN nation LEFT JOIN c ON c.item = i.item AND c.seller = n_nationkey""")
 def completion(spark: SparkSession, d: str) -> DataFrame:
-    """Every part with every supplier of one nation, present or not."""
-    sellers = read(spark, d, "supplier").filter("s_nationkey = 1").select(F.col("s_suppkey").alias("seller"))
-    return peers.completion(quotes(spark, d).withColumnRenamed("item", "cluster"), "cluster", "seller", sellers)
+    """Every part with every nation, offered from there or not."""
+    sellers = read(spark, d, "nation").select(F.col("n_nationkey").alias("seller"))
+    return peers.completion(national_quotes(spark, d).withColumnRenamed("item", "cluster"), "cluster", "seller", sellers)
 
 
 @query("""SELECT source_id, sheet, row_number, item_id, last_value(CASE WHEN row_type = 'group' THEN item_name END IGNORE NULLS) OVER (PARTITION BY source_id, sheet ORDER BY row_number, item_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM item_records""")
@@ -343,10 +353,10 @@ def merged_lines(spark: SparkSession, d: str) -> DataFrame:
     return ordered.merge_close(v, ["user_id"], "x", 3600).select("user_id", "line", r4("mean").alias("mean"), "n")
 
 
-@query("""SELECT p_brand, count(*) AS n, cast(sum(levenshtein(lower(p_name), lower(p_type))) AS BIGINT) AS edits, cast(sum(greatest(length(p_type), 1)) AS BIGINT) AS letters FROM part GROUP BY p_brand""")
+@query("""SELECT p_brand, count(*) AS n, cast(sum(levenshtein(lower(p_name), lower(p_type))) AS BIGINT) AS edits, cast(sum(greatest(length(p_type), 1)) AS BIGINT) AS letters, count(*) FILTER (WHERE lower(p_name) = lower(p_type)) AS exact FROM part GROUP BY p_brand""")
 def character_error(spark: SparkSession, d: str) -> DataFrame:
-    """Edit distance of a reading and the truth, summed up per group for a character error rate."""
-    return read(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.sum(F.levenshtein(F.lower("p_name"), F.lower("p_type"))).alias("edits"), F.sum(F.greatest(F.length("p_type"), F.lit(1))).alias("letters"))
+    """Edit distance of a reading and the truth, summed up per group for a character error rate, and exact readings."""
+    return read(spark, d, "part").groupBy("p_brand").agg(F.count("*").alias("n"), F.sum(F.levenshtein(F.lower("p_name"), F.lower("p_type"))).alias("edits"), F.sum(F.greatest(F.length("p_type"), F.lit(1))).alias("letters"), F.count_if(F.lower("p_name") == F.lower("p_type")).alias("exact"))
 
 
 @query(f"""WITH c AS (SELECT l_orderkey AS cell, lower(trim(l_returnflag)) AS k, l_returnflag AS t, l_discount AS conf, l_linestatus AS engine, l_linenumber AS variant FROM lineitem),
