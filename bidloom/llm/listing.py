@@ -21,11 +21,12 @@ MEASURE = re.compile(r"\d+(?:[a-z]{1,3}\d?)?|[a-z]+")
 #: Sides of a thing, as 20x30x2cm; a word, a number and a group of a letter and digits, as in "mc 719 x16b".
 SIDES = re.compile(r"\d+(?:[.,]\d+)?[a-z]{0,2}(?:x\d+(?:[.,]\d+)?[a-z]{0,3}\d?)+")
 SPACED = re.compile(r"(?<![a-z0-9])[a-z]{1,4} \d{2,6} ([a-z]\d{2,4}[a-z]?)(?![a-z0-9])")
-#: What part numbers are introduced with, and where a stretch of a listing ends.
+#: What part numbers are introduced with, groups with blanks between, and ones that make up a stretch between signs.
 LABEL = re.compile(r"(?<![a-z0-9])(?:ma(?: hieu| so| hang| sp)?|ky hieu|model|type|p/?n|part (?:no|number)|ref|series|sku|art(?:icle)?)\b\s*[.:=#]?\s*")
-END = re.compile(r"\s*(?:[;()\[\]|]|,(?!\d)|\s[-–]\s)\s*")
-#: Letters and digits that a part number has at least and in all at most, and the longest group of one that is written with blanks.
-LEAST_LETTERS, LEAST_DIGITS, LEAST_GROUPS, LONGEST, LONGEST_GROUP = 2, 3, 3, 24, 6
+GROUPED = re.compile(r"[a-z0-9]{1,6}(?: [a-z0-9]{1,6}){1,5}(?![a-z0-9])")
+WHOLE = re.compile(r"(?:(?<=[;()\[\]|])|(?<=, )|(?<= - )|^) ?([a-z][a-z0-9]{0,3} (?:[a-z0-9]{1,6} ){0,4}[a-z0-9]{1,6}) ?(?=[;()\[\]|,]| - |$)")
+#: Letters, digits and groups that a part number has at least, and characters at most.
+LEAST_LETTERS, LEAST_DIGITS, LEAST_GROUPS, LONGEST = 2, 3, 3, 24
 GTIN = re.compile(r"(?<!\d)(\d{8}|\d{12,14})(?!\d)")
 # Units of measured attributes, their kind, and their size in SI units.
 UNITS = {
@@ -46,6 +47,12 @@ NOISE = re.compile(r"bao hanh \d+ thang|(?:dvt|don vi tinh|don vi|unit of measur
 LABELLED_ID = re.compile(r"(?:ean|gtin|upc|barcode|ma vach)\D{0,4}(\d{8}|\d{12,14})(?!\d)")
 
 
+LITRE, METRE, HOUR = re.compile(r"(?<=\d)\s?l[^\s\d]{1,3}t(?![a-z])"), re.compile(r"(?<=\d)\s?m[^\s\dx]{1,3}t(?![a-z])"), re.compile(r"(?<=[m3l])/gi[^\s\d;,]{0,5}")
+TORN = re.compile(r"\d\s?[lm](?!it|et)[^\s\dx]{1,3}t(?![a-z])|/gi(?!o(?![a-z]))")
+EIGHT = re.compile(r"\d{8}")
+NO_DIGITS = dict.fromkeys(range(48, 58))
+
+
 def valid_gtin(digits: str) -> bool:
     """Whether an 8, 12, 13 or 14 digit trade number has the right check digit."""
     if len(digits) not in (8, 12, 13, 14):
@@ -55,10 +62,10 @@ def valid_gtin(digits: str) -> bool:
 
 def part_number(text: str) -> str | None:
     """The part number that a text is, without its signs and blanks: letters and digits in at least three groups; no measures."""
-    tight = re.sub(r"[-./ ]", "", text)
+    tight = text.replace("-", "").replace(".", "").replace("/", "").replace(" ", "")
     if not 6 <= len(tight) <= LONGEST or not (tight.isascii() and tight.isalnum()):
         return None
-    digits = sum(c.isdigit() for c in tight)
+    digits = len(tight) - len(tight.translate(NO_DIGITS))
     if digits < LEAST_DIGITS or len(tight) - digits < LEAST_LETTERS or len(GROUPS.findall(tight)) < LEAST_GROUPS:
         return None
     if VALUE.fullmatch(text) or SIDES.fullmatch(text) or all(MEASURE.fullmatch(p) for p in re.split(r"[-./ ]", text)):
@@ -72,29 +79,35 @@ def labelled_measure(group: str) -> bool:
     return m is not None and (len(m[2]) > 1 or group[0].isdigit())
 
 
+def groups_of(text: str) -> str | None:
+    """The groups at the start of a text that may make up a part number: short ones, words only at the start, no measures."""
+    groups = text.split()
+    some = groups[:1]
+    for g in groups[1:]:
+        if g.isalpha() and len(g) > 1 or labelled_measure(g) or SIDES.fullmatch(g):
+            break
+        some.append(g)
+    return " ".join(some) if len(some) > 1 and not some[0].isdigit() and len(some[0]) <= 4 else None
+
+
 def part_numbers(line: str) -> dict[str, str]:
     """Part numbers of a text and how each is written there: runs without blanks anywhere; with blanks where a word, a number and a
     mixed group follow each other, after a label, or as a whole stretch."""
     out: dict[str, str] = {}
-    for m in RUN.finditer(line):
-        if found := part_number(m[0]):
-            out[found] = m[0]
-    for stretch in END.split(line):
-        labels = [m.end() for m in LABEL.finditer(stretch)]
-        for at in labels or [0]:
-            if SPACED.match(stretch, at):
-                continue  # below
-            groups = stretch[at:].split()
-            some = groups[:1]
-            for g in groups[1:6]:
-                if len(g) > LONGEST_GROUP or not g.isalnum() or g.isalpha() and len(g) > 1 or labelled_measure(g):
-                    break
-                some.append(g)
-            if len(some) > 1 and (labels or len(some) == len(groups)) and not some[0].isdigit() and len(some[0]) <= 4 and (found := part_number(" ".join(some))):
-                out[found] = " ".join(some)
-    for m in SPACED.finditer(line):
-        if not labelled_measure(m[1]) and (found := part_number(m[0])) and not any(m[0] in w for w in out.values()):
-            out[found] = m[0]
+    for run in RUN.findall(line):
+        if len(run) >= 6 and not run.isalpha() and not run.isdigit() and (found := part_number(run)):
+            out[found] = run
+    if SPACED.search(line):
+        for m in SPACED.finditer(line):
+            if not labelled_measure(m[1]) and (found := part_number(m[0])):
+                out[found] = m[0]
+        return out
+    for m in LABEL.finditer(line):
+        if (g := GROUPED.match(line, m.end())) and (text := groups_of(g[0])) and (found := part_number(text)):
+            out[found] = text
+    for m in WHOLE.finditer(line):
+        if (text := groups_of(m[1])) == m[1] and (found := part_number(text)):
+            out[found] = text
     return out
 
 
@@ -127,9 +140,10 @@ def _describe(name: str | None, material: str | None, code: str | None) -> tuple
     else:  # the same by C functions: nothing here but Vietnamese letters and the usual signs
         line = text.lower().replace("đ", "d").replace("²", "2").replace("³", "3").replace("×", "x").replace("ø", " ").replace("^", "").replace("–", "-")
         line = unicodedata.normalize("NFD", line).encode("ascii", "ignore").decode()
-    line = re.sub(r"(?<=\d)\s?l[^\s\d]{1,3}t(?![a-z])", "lit", re.sub(r"(?<=\d)\s?m[^\s\dx]{1,3}t(?![a-z])", "m", re.sub(r"(?<=[m3l])/gi[^\s\d;,]{0,5}", "/gio", line)))
+    if TORN.search(line):  # letters of units may be lost or changed
+        line = LITRE.sub("lit", METRE.sub("m", HOUR.sub("/gio", line)))
     found: str | None = None
-    if m := LABELLED_ID.search(line):
+    if EIGHT.search(line) and (m := LABELLED_ID.search(line)):
         found = "gtin:" + m[1].lstrip("0") if valid_gtin(m[1]) else None
     if found is None and code and (m := GTIN.fullmatch(code.strip())) and valid_gtin(m[1]):
         found = "gtin:" + m[1].lstrip("0")
