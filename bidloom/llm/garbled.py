@@ -3,8 +3,9 @@
 Every kind of swap is treated as a substitution cipher. A cipher (``CIPHERS``) says only how garbled text falls into
 units: characters that stand for one letter. What a unit means is learnt: ``fit`` counts letter bigrams over all clean
 rows and unit contexts over all suspicious rows in one pass, then expectation-maximisation per cipher finds
-P(letter | unit) so that the deciphered text is likely under the bigrams. ``Repairer`` applies the mapping; where the
-swap is a known reversible codec pair, decoding the bytes exactly is used as a check and supplies units too rare to learn.
+P(letter | unit) so that the deciphered text is likely under the bigrams. ``Repairer`` applies the mapping. Where the swap is a
+known reversible codec pair, the bytes decide: their exact decoding goes before the learnt letter, which only fills units that don't decode.
+Ciphers are learnt over all sources together, as one source holds several swaps and a mapping per source would grow with the data.
 Double-byte code pages cut letters in two, so they are no substitution of letters; for them only the exact way exists.
 
 Defined cases: null, empty and blank texts are not damaged and come back as they are; texts of any length are handled
@@ -25,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidloom.functions.fold import ASCII, RowFinder
+from bidloom.functions.worker import Once, bounded
 
 BASE = "aăâbcdđeêfghijklmnoôơpqrstuưvwxyz"
 TONES = ["̀", "́", "̉", "̃", "̣"]
@@ -104,8 +106,13 @@ GOOD = set("²³×Ø°±–—“”‘’•…®©çÇ")
 CJK = re.compile("[⺀-鿿豈-﫿가-힯︰-﹏ヽ゛]")
 
 
-@lru_cache(50_000)
 def _exact(text: str, codec: str) -> str:
+    """``_decoded`` with a cache for texts of usual length."""
+    return (_decoded if len(text) <= 2_000 else _decoded.__wrapped__)(text, codec)
+
+
+@lru_cache(50_000)
+def _decoded(text: str, codec: str) -> str:
     """Every unit of UTF-8 read as ``codec`` decoded from its bytes; the rest stays."""
     table = BYTES[codec]
 
@@ -235,10 +242,11 @@ def _em(pdf: pd.DataFrame, rounds: int = 30) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["cipher", "what", "l", "u", "r", "p"])
 
 
-class Repairer:
+class Repairer(Once):
     """Deciphers single texts with a learnt mapping. It holds the bigram counts and, per cipher, unit → (letter, probability)."""
 
     def __init__(self, rows: list[tuple], sure: float = 0.45):
+        self.args = (rows, sure)
         self.sure = sure
         self.count = np.zeros((A, A))
         self.map: dict[str, dict[str, tuple[str, float]]] = {c: {} for c in CIPHERS}
@@ -257,12 +265,7 @@ class Repairer:
         total = self.count.sum(0, keepdims=True) + 1
         #: A bigram is known if it makes up a share of its rarer letter's occurrences that chance spelling slips don't reach.
         self.known = self.count >= np.maximum(3, 2e-4 * np.minimum(self.count.sum(1, keepdims=True) + 1, total))
-        self.repair = lru_cache(50_000)(self._repair)
-
-    def __reduce__(self):
-        rows = [("", "lm", a, "", b, float(self.count[a, b])) for a, b in zip(*np.nonzero(self.count), strict=True)]
-        rows += [(c, "unit", u, l, "", p) for c, m in self.choices.items() for u, ls in m.items() for l, p in ls]
-        return Repairer, (rows, self.sure)
+        self.repair = bounded(self._repair)
 
     def strange(self, word: str) -> int:
         """Number of neighbouring characters, one of them not ASCII, that clean text doesn't have."""
