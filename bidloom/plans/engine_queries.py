@@ -286,7 +286,19 @@ def unmatched_rows(spark: SparkSession, d: str) -> DataFrame:
     return matching.unmatched(both, l, r, "a", "b")
 
 
-@query()
+GRAMS = "list_concat(" + ", ".join(f"CASE WHEN length(w) <= {n} THEN CASE WHEN greatest(length(w), 3) = {n} THEN [w] ELSE [] END ELSE list_transform(range(1, length(w) - {n} + 2), lambda i: substr(w, i, {n})) END" for n in (3, 4, 5)) + ")"
+
+
+@query(rf"""WITH t AS (SELECT description, min(ref_id) AS first_id, count(*) AS many FROM price_references WHERE description IS NOT NULL GROUP BY description),
+w AS (SELECT first_id, many, ' ' || unnest(list_filter(regexp_split_to_array(lower(description), '\s+'), lambda x: x <> '')) || ' ' AS w FROM t),
+e AS (SELECT first_id, gram, count(*) AS c, min(many) AS many FROM (SELECT first_id, many, unnest({GRAMS}) AS gram FROM w) GROUP BY first_id, gram),
+f AS (SELECT gram, sum(many)::DOUBLE AS df FROM e GROUP BY gram), n AS (SELECT sum(many)::DOUBLE AS n FROM t),
+r AS (SELECT first_id, e.gram, (1 + ln(c)) * (ln((1 + n) / (1 + df)) + 1) AS w FROM e JOIN f ON e.gram = f.gram CROSS JOIN n),
+v AS (SELECT r.first_id, gram, w / l AS w FROM r JOIN (SELECT first_id, sqrt(sum(w * w)) AS l FROM r GROUP BY first_id) s ON r.first_id = s.first_id),
+m AS (SELECT ref_id, first_id FROM price_references p JOIN t ON p.description = t.description), a AS (SELECT * FROM m WHERE right(ref_id, 7)::BIGINT % 50 = 0),
+s AS (SELECT q.first_id AS query_text, v.first_id, sum(q.w * v.w) AS similarity FROM v q JOIN v ON q.gram = v.gram WHERE q.first_id IN (SELECT first_id FROM a) GROUP BY q.first_id, v.first_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY query_text ORDER BY floor(similarity * 1e9) DESC, first_id) AS place FROM s)
+SELECT a.ref_id AS query_id, m.ref_id, {sql4('similarity')} AS similarity FROM a JOIN k ON a.first_id = k.query_text JOIN m ON k.first_id = m.first_id WHERE place <= 6 AND a.ref_id <> m.ref_id""")
 def char_tfidf_topk(spark: SparkSession, d: str) -> DataFrame:
     """For every fiftieth price reference the other ones with its own or the five most similar other texts by character n-grams under TF-IDF; weights are counted over all rows."""
     return nearest_texts(read(spark, d, "price_references").select("ref_id", "description"))
