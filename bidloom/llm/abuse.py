@@ -49,7 +49,7 @@ WINDOW, STEP = 18, 9
 ALIKE = 0.6
 #: Share of right verdicts, and of abusive ones among all wordings, before anything is known.
 TRUST, FEW = 0.9, 0.1
-#: Share of all passages up to which a wording is as likely abuse as any; more common ones are less likely in proportion.
+#: Share of all passages up to which a wording is as likely abuse as any; more common ones are less likely in proportion, down to a twentieth.
 RARE = 2e-4
 #: What acceptable talk votes against every passage, in units of the votes; weights of grammar words.
 CALM, GRAMMAR_WEIGHT = 0.35, 0.2
@@ -331,8 +331,10 @@ def judged(spark: SparkSession, read: list[tuple], df: dict[str, int], n: int) -
         if sum(told[p]) == 1:
             lone[next(iter(ks))].append(p)
     ordinary = sum(len(ps) for k, ps in lone.items() if not bad[k]) / max(sum(not b for b in bad.values()), 1)
-    # A wording that makes up a large share of all passages of the corpus is hardly abuse; its rarest term bounds the share.
-    common = {p: max(0.0, log(min(df.get(t, 0) for t in terms(p)) / max(n, 1) / RARE + 1e-9)) for p in owners}
+    # A wording that makes up a large share of all passages of the corpus is hardly abuse; its rarest term bounds the share, taken at its
+    # lower bound of two deviations, so that small counts tell nothing.
+    rarest = {p: min(df.get(t, 0) for t in terms(p)) for p in owners}
+    common = {p: min(3.0, max(0.0, log(max(0.0, c - 2 * sqrt(c)) / max(n, 1) / RARE + 1e-9))) for p, c in rarest.items()}
     chance = {p: 1 / (1 + exp(min(500.0, common[p] + log((1 - FEW) / FEW) + r * log(base / TRUST) + f * log((1 - base) / (1 - TRUST))))) for p, (r, f) in told.items()}
     explained = {k for p, ks in owners.items() if chance[p] > 0.5 for k in ks}
     out = []
