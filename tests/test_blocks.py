@@ -21,3 +21,23 @@ def test_pairs_over_common_grams_are_not_written(spark):
     v = spark.createDataFrame([(str(i), g, 1.0) for i in range(50) for g in ("x", f"y{i}")], "k string, gram string, w double")
     top = matching.top_similar(v.withColumnRenamed("k", "a"), v.withColumnRenamed("k", "b"), "a", "b", 2, blocks=2)
     assert "Join" not in top._jdf.queryExecution().toString() and top.count() == 100
+
+
+def test_lookup_within_units_against_brute_force(spark):
+    import math
+
+    from bidloom.operators import retrieval
+
+    r = random.Random(1)
+    refs = [(f"R{i:03d}", " ".join(["ong", *r.sample(["thep", "nhua", "van", "cap", "dong", "bom"], 2)]), r.choice(["m", "kg", None])) for i in range(80)]
+    words = {i: set(t.split()) for i, t, u in refs if u}
+    unit = {i: u for i, _, u in refs}
+    idf = {w: math.log((1 + len(words)) / (1 + sum(w in x for x in words.values()))) + 1 for x in words.values() for w in x}
+    size = lambda x: math.sqrt(sum(idf[w] ** 2 for w in x))
+    like = lambda a, b: sum(idf[w] ** 2 for w in words[a] & words[b]) / size(words[a]) / size(words[b])
+    df = spark.createDataFrame(refs, "ref_id string, description string, unit string").filter("unit is not null")
+    found = retrieval.lookup(df.withColumnRenamed("ref_id", "query_id"), df, "query_id", "ref_id", k=3)
+    told = {(q, b, n) for q in words for n, (_, b) in enumerate(sorted((-round(like(q, b), 9), b) for b in words if b != q and unit[b] == unit[q])[:3], 1)}
+    got = found.collect()
+    assert "CoGroup" in found._jdf.queryExecution().toString()
+    assert {(x.query_id, x.ref_id, x.place) for x in got} == told and all(abs(x.similarity - like(x.query_id, x.ref_id)) < 1e-9 for x in got)
