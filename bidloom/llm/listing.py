@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 from bidloom.functions.fold import bare
 from bidloom.llm import garbled
@@ -14,17 +16,20 @@ EXACT = garbled.Repairer([])
 ODD = re.compile(f"[^\\x00-\\x7F{garbled.V}²³×Ø°±©®–]")
 POWERS = str.maketrans({"²": "2", "³": "3", "×": "x", "^": None, "Ø": " ", "®": " ", "©": " ", "±": " ", "°": " ", "–": "-"})
 #: A run of letters and digits, with single signs inside; one of both, changing often enough, is a part number.
-RUN = re.compile(r"(?<![a-z0-9])[a-z0-9]+(?:[-./][a-z0-9]+)*(?![a-z0-9])")
+RUN = re.compile(r"[a-z0-9]+(?:[-./][a-z0-9]+)*")
 GROUPS = re.compile(r"[a-z]+|\d+")
 #: A number with a unit, a number, a word: what measures are made of, and part numbers aren't alone.
 MEASURE = re.compile(r"\d+(?:[a-z]{1,3}\d?)?|[a-z]+")
 #: Sides of a thing, as 20x30x2cm; a word, a number and a group of a letter and digits, as in "mc 719 x16b".
 SIDES = re.compile(r"\d+(?:[.,]\d+)?[a-z]{0,2}(?:x\d+(?:[.,]\d+)?[a-z]{0,3}\d?)+")
+SPACE_BETWEEN = re.compile(r" \d{2,6} [a-z]\d{2,4}[a-z]?(?![a-z0-9])")  # whatever SPACED finds has this
 SPACED = re.compile(r"(?<![a-z0-9])[a-z]{1,4} \d{2,6} ([a-z]\d{2,4}[a-z]?)(?![a-z0-9])")
 #: What part numbers are introduced with, groups with blanks between, and ones that make up a stretch between signs.
 LABEL = re.compile(r"(?<![a-z0-9])(?:ma(?: hieu| so| hang| sp)?|ky hieu|model|type|p/?n|part (?:no|number)|ref|series|sku|art(?:icle)?)\b\s*[.:=#]?\s*")
 GROUPED = re.compile(r"[a-z0-9]{1,6}(?: [a-z0-9]{1,6}){1,5}(?![a-z0-9])")
-WHOLE = re.compile(r"(?:(?<=[;()\[\]|])|(?<=, )|(?<= - )|^) ?([a-z][a-z0-9]{0,3} (?:[a-z0-9]{1,6} ){0,4}[a-z0-9]{1,6}) ?(?=[;()\[\]|,]| - |$)")
+#: A stretch, and what stands before one; no group but the first is a word, as ``groups_of`` has it.
+STRETCH = r" ?([a-z][a-z0-9]{0,3}(?: (?![a-z]{2,6}(?![a-z0-9]))[a-z0-9]{1,6}){1,5}) ?(?=[;()\[\]|,]| - |$)"
+WHOLE_FIRST, WHOLE = re.compile(STRETCH), re.compile(r"[;()\[\]|,-](?:(?<=[;()\[\]|])|(?<=,) |(?<= -) )" + STRETCH)
 #: Letters, digits and groups that a part number has at least, and characters at most.
 LEAST_LETTERS, LEAST_DIGITS, LEAST_GROUPS, LONGEST = 2, 3, 3, 24
 GTIN = re.compile(r"(?<!\d)(\d{8}|\d{12,14})(?!\d)")
@@ -41,16 +46,18 @@ SIZE = {u: (k, f) for k, us in UNITS.items() for u, f in us.items()}
 ANY = "|".join(sorted(map(re.escape, SIZE), key=len, reverse=True))
 VALUE = re.compile(rf"(?<![a-z0-9.,/])(?:[a-z]{{0,4}}[=:]?\s?)?(\d+(?:[.,]\d+)?)\s?({ANY})(?![a-z0-9/=])")
 NUMBER = r"\d+(?:[.,]\d+)?"
+#: The numbers with units that VALUE finds in a text, as a search that begins at digits; the unit is the whole run of signs after a number.
+LEADS = "|".join([r"(?<![a-z0-9.,/]\d)", *(rf"(?<=[a-z]{{{n}}}\d)(?<![a-z0-9.,/][a-z]{{{n}}}\d)" for n in range(1, 5))])
+MEASURED = re.compile(rf"(\d(?:{LEADS})\d*+(?:[.,]\d++)?+)(?=\s?([a-z][a-z0-9/]*+)(?!=))")
 DIMS = re.compile(rf"(?<![\d.,])({NUMBER})\s?(mm|cm|dm|m)?\s?[x*×]\s?({NUMBER})\s?(mm|cm|dm|m)?(?:\s?[x*×]\s?({NUMBER}))?\)?\s?(mm|cm|dm|m)?(?![a-z0-9])")
+SIDE = re.compile(r"[x*×]\s?\d")  # whatever DIMS finds has this
 # Phrases with numbers that measure nothing of the product: warranties, units of the bill, phases.
 NOISE = re.compile(r"bao hanh \d+ thang|(?:dvt|don vi tinh|don vi|unit of measure|unit(?=:)|tinh theo|tinh bang|ghi theo|chao theo)\s*[:=]?\s*[^\];)\n]*|\b\d pha\b|\b[0-9]+ ?phase")
 LABELLED_ID = re.compile(r"(?:ean|gtin|upc|barcode|ma vach)\D{0,4}(\d{8}|\d{12,14})(?!\d)")
 
 
 LITRE, METRE, HOUR = re.compile(r"(?<=\d)\s?l[^\s\d]{1,3}t(?![a-z])"), re.compile(r"(?<=\d)\s?m[^\s\dx]{1,3}t(?![a-z])"), re.compile(r"(?<=[m3l])/gi[^\s\d;,]{0,5}")
-TORN = re.compile(r"\d\s?[lm](?!it|et)[^\s\dx]{1,3}t(?![a-z])|/gi(?!o(?![a-z]))")
-EIGHT = re.compile(r"\d{8}")
-NO_DIGITS = dict.fromkeys(range(48, 58))
+TORN, TORN_HOUR = re.compile(r"\d\s?[lm](?!it|et)[^\s\dx]{1,3}t(?![a-z])"), re.compile(r"/gi(?!o(?![a-z]))")
 
 
 def valid_gtin(digits: str) -> bool:
@@ -65,7 +72,7 @@ def part_number(text: str) -> str | None:
     tight = text.replace("-", "").replace(".", "").replace("/", "").replace(" ", "")
     if not 6 <= len(tight) <= LONGEST or not (tight.isascii() and tight.isalnum()):
         return None
-    digits = len(tight) - len(tight.translate(NO_DIGITS))
+    digits = len(tight) - len(tight.encode().translate(None, b"0123456789"))
     if digits < LEAST_DIGITS or len(tight) - digits < LEAST_LETTERS or len(GROUPS.findall(tight)) < LEAST_GROUPS:
         return None
     if VALUE.fullmatch(text) or SIDES.fullmatch(text) or all(MEASURE.fullmatch(p) for p in re.split(r"[-./ ]", text)):
@@ -94,10 +101,12 @@ def part_numbers(line: str) -> dict[str, str]:
     """Part numbers of a text and how each is written there: runs without blanks anywhere; with blanks where a word, a number and a
     mixed group follow each other, after a label, or as a whole stretch."""
     out: dict[str, str] = {}
-    for run in RUN.findall(line):
-        if len(run) >= 6 and not run.isalpha() and not run.isdigit() and (found := part_number(run)):
-            out[found] = run
-    if SPACED.search(line):
+    for word in line.split():
+        if len(word) >= 6 and not word.isalpha():
+            for run in RUN.findall(word):
+                if len(run) >= 6 and not run.isalpha() and not run.isdigit() and (found := part_number(run)):
+                    out[found] = run
+    if SPACE_BETWEEN.search(line) and SPACED.search(line):
         for m in SPACED.finditer(line):
             if not labelled_measure(m[1]) and (found := part_number(m[0])):
                 out[found] = m[0]
@@ -105,12 +114,30 @@ def part_numbers(line: str) -> dict[str, str]:
     for m in LABEL.finditer(line):
         if (g := GROUPED.match(line, m.end())) and (text := groups_of(g[0])) and (found := part_number(text)):
             out[found] = text
-    for m in WHOLE.finditer(line):
+    first = WHOLE_FIRST.match(line)
+    for m in chain([first] if first else [], WHOLE.finditer(line, first.end() if first else 0)):
         if (text := groups_of(m[1])) == m[1] and (found := part_number(text)):
             out[found] = text
     return out
 
 
+def measured(line: str) -> Iterator[tuple[str, str, int]]:
+    """(number, unit, place of the unit) of the measures in a text, as VALUE finds them from left to right."""
+    if not line.isascii():  # digits of other scripts: signs before and after a number are then told apart by VALUE only
+        yield from ((m[1], m[2], m.start(2)) for m in VALUE.finditer(line))
+        return
+    end = -1
+    for m in MEASURED.finditer(line):
+        if m.start() > end and m[2] in SIZE:
+            end = m.end(2)
+            yield m[1], m[2], m.start(2)
+
+
+def noisy(line: str) -> bool:
+    """Whether NOISE may find something: all that it finds has one of these."""
+    return "bao hanh" in line or "dvt" in line or "don vi" in line or "unit" in line or " theo" in line or "tinh bang" in line or " pha" in line or "phase" in line
+
+
 def rounded(x: float) -> str:
     return f"{x:.5g}"
 
@@ -128,9 +155,10 @@ def _describe(name: str | None, material: str | None, code: str | None) -> tuple
     text = " ; ".join(t for t in (name, material, code) if t)
     odd = not text.isascii() and ODD.search(text)
     if odd:
+        like = garbled.cipher_of(text)
         for cipher in ("utf8_as_cp1252", "utf8_as_mac_roman", "utf8_as_cp437", "utf8_as_cp1251"):
-            if garbled.cipher_of(text) == cipher and (fixed := EXACT._undo(text, cipher)):
-                text = fixed
+            if like == cipher and (fixed := EXACT._undo(text, cipher)):
+                text, like = fixed, garbled.cipher_of(fixed)
         if garbled.CJK.search(text) and (fixed := garbled._wide(text)):
             text = fixed
     if text.isascii():
@@ -140,10 +168,10 @@ def _describe(name: str | None, material: str | None, code: str | None) -> tuple
     else:  # the same by C functions: nothing here but Vietnamese letters and the usual signs
         line = text.lower().replace("đ", "d").replace("²", "2").replace("³", "3").replace("×", "x").replace("ø", " ").replace("^", "").replace("–", "-")
         line = unicodedata.normalize("NFD", line).encode("ascii", "ignore").decode()
-    if TORN.search(line):  # letters of units may be lost or changed
+    if TORN.search(line) or "/gi" in line and TORN_HOUR.search(line):  # letters of units may be lost or changed
         line = LITRE.sub("lit", METRE.sub("m", HOUR.sub("/gio", line)))
     found: str | None = None
-    if EIGHT.search(line) and (m := LABELLED_ID.search(line)):
+    if ("ean" in line or "gtin" in line or "upc" in line or "barcode" in line or "ma vach" in line) and (m := LABELLED_ID.search(line)):
         found = "gtin:" + m[1].lstrip("0") if valid_gtin(m[1]) else None
     if found is None and code and (m := GTIN.fullmatch(code.strip())) and valid_gtin(m[1]):
         found = "gtin:" + m[1].lstrip("0")
@@ -154,7 +182,8 @@ def _describe(name: str | None, material: str | None, code: str | None) -> tuple
         found = "?" + min(parts)
     for written in parts.values():
         line = line.replace(written, " ")
-    line = NOISE.sub(" ", line)
+    if noisy(line):
+        line = NOISE.sub(" ", line)
     values: list[tuple[str, float]] = []
 
     def dims(m: re.Match) -> str:
@@ -165,12 +194,13 @@ def _describe(name: str | None, material: str | None, code: str | None) -> tuple
             values.append(("length", float(n.replace(",", ".")) * UNITS["length"][u or last]))
         return " "
 
-    line = DIMS.sub(dims, line)
-    for m in VALUE.finditer(line):
-        if m.string[m.start(2) - 1] == " " and (m[2] in ("t", "v") or m[2] == "ma" and len(m[1]) < 3):
+    if SIDE.search(line):
+        line = DIMS.sub(dims, line)
+    for number, unit, at in measured(line):
+        if line[at - 1] == " " and (unit in ("t", "v") or unit == "ma" and len(number) < 3):
             continue  # a word: "loại 1 mã …"
-        kind, size = SIZE[m[2]]
-        values.append((kind, float(m[1].replace(",", ".")) * size))
+        kind, size = SIZE[unit]
+        values.append((kind, float(number.replace(",", ".")) * size))
     return found, "|".join(sorted(f"{k}:{rounded(v)}" for k, v in values)) or None
 
 

@@ -1,4 +1,6 @@
-from bidloom.llm import products
+import random
+
+from bidloom.llm import listing, products
 from bidloom.llm.listing import describe, part_number, part_numbers, valid_gtin
 
 SCHEMA = "item_id long, bidder string, item_name string, material string, item_code string"
@@ -73,3 +75,25 @@ def test_hot_product_is_split(spark):
     g = products.grouped(spark.createDataFrame(rows, SCHEMA), "item_id", "item_name", "material", "item_code", "bidder")
     got = [(r.item_id_a, r.item_id_b) for r in products.pairs(g, "item_id", "bidder", part_rows=7).collect()]
     assert len(got) == len(set(got)) and set(got) == {(a, b) for a in range(50) for b in range(a + 1, 50) if a % 3 != b % 3}
+
+
+def test_searches_find_what_their_patterns_say():
+    """The quick searches of ``describe`` against the patterns that define them, over random texts."""
+    r = random.Random(5)
+    some = ["5", "12", "1.5", "2,25", "m", "m2", "m3/h", "kg", "ma", "x", "*", " ", " ", " ", ".", ",", "/", "=", ":", "-", " - ", ";", "(", "]", "|", "a", "bc", "abcd", "abcde", "c43b", "td", "n/mm2", "\n", "٣", "bao hanh 24 thang", "unit: ", "3 phase", " 2 pha", "tinh theo ", "lt"]
+    for _ in range(20_000):
+        line = "".join(r.choice(some) for _ in range(r.randint(1, 12)))
+        assert list(listing.measured(line)) == [(m[1], m[2], m.start(2)) for m in listing.VALUE.finditer(line)]
+        assert listing.noisy(line) or not listing.NOISE.search(line)
+        assert listing.SIDE.search(line) or not listing.DIMS.search(line)
+        assert listing.SPACE_BETWEEN.search(line) or not listing.SPACED.search(line)
+    line = "5 m 6kg a7m abcde8m 1.5.7m 9 m3/h2 kg, 5 m2 m"
+    assert list(listing.measured(line)) == [("5", "m", 2), ("6", "kg", 5), ("7", "m", 10), ("5", "m2", 41)] == [(m[1], m[2], m.start(2)) for m in listing.VALUE.finditer(line)]
+
+
+def test_cipher_is_looked_for_once(monkeypatch):
+    calls = []
+    cipher_of = listing.garbled.cipher_of
+    monkeypatch.setattr(listing.garbled, "cipher_of", lambda t: calls.append(t) or cipher_of(t))
+    assert listing._describe("Thang cáp Ж TC344-W17D", None, None) == ("tc344w17d", None) and len(calls) == 1
+    assert listing._describe("Ống dài 5 mét".encode().decode("cp1252", "replace"), None, None)[1] == "length:5" and len(calls) <= 3
